@@ -514,16 +514,21 @@ def clean_fallback_candidate(col: Column, title: Column) -> Column:
 
 
 def _publishable(text: Column, title: Column) -> Column:
-    parts = F.split(text, SENTENCE_END, 2)
     lower_start = r"^\p{Ll}"
-    opened = F.when(~text.rlike(lower_start), text).otherwise(
-        F.when((F.size(parts) == 2), strip_space(F.get(parts, F.lit(1))))
+    tail = let(
+        F.split(text, SENTENCE_END, 2),
+        lambda ps: F.when(F.size(ps) == 2, strip_space(F.get(ps, F.lit(1)))),
     )
-    opened = F.when((opened != "") & ~opened.rlike(lower_start), opened)
-    usable = F.when(
-        ~contains_source_artifacts(text)
-        & ~contains_any(casefold(opened), fixed.FALLBACK_REJECT_MARKERS),
+    opened = F.when(text.rlike(lower_start), tail).otherwise(text)
+    usable = let(
         opened,
+        lambda o: F.when(
+            (o != "")
+            & ~o.rlike(lower_start)
+            & ~contains_any(casefold(o), fixed.FALLBACK_REJECT_MARKERS)
+            & ~contains_source_artifacts(text),
+            o,
+        ),
     )
 
     def pick(u: Column) -> Column:

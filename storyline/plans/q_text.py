@@ -477,14 +477,23 @@ QUALITY_SQL = """(least(length(summary), 600) + CASE WHEN regexp_matches(summary
 )
 def p33(spark, sf_dir):
     # max_by combines before the shuffle, so a story with most of the rows is no hot spot.
-    scored = fallback(spark, sf_dir).filter("summary IS NOT NULL").withColumn(
-        "quality", X.fallback_quality(F.col("summary"))
+    best = fallback(spark, sf_dir).groupBy("story_id").agg(
+        F.max(
+            X.let(
+                F.col("summary"),
+                lambda s: F.when(
+                    s.isNotNull(),
+                    F.struct(
+                        X.fallback_quality(s).alias("quality"),
+                        (-F.col("article_id")).alias("back"),
+                        F.col("article_id").alias("article_id"),
+                        s.alias("summary"),
+                    ),
+                ),
+            )
+        ).alias("b")
     )
-    rank = F.struct(F.col("quality"), (-F.col("article_id")).alias("first"))
-    best = scored.groupBy("story_id").agg(
-        F.max_by(F.struct("article_id", "quality", "summary"), rank).alias("b")
-    )
-    return best.select("story_id", "b.article_id", "b.quality", "b.summary")
+    return best.filter("b IS NOT NULL").select("story_id", "b.article_id", "b.quality", "b.summary")
 
 
 WORDS_SQL = "len(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_](?:[\\p{{L}}\\p{{N}}_''-]*[\\p{{L}}\\p{{N}}_])?'))"
@@ -523,7 +532,9 @@ def needs_web_evidence(articles: DataFrame) -> DataFrame:
     )
     open_end = (~d.rlike("[.!?][\"”’]?$")).cast("int")
     parts = F.size(F.filter(X.sentences(d), lambda s: s != ""))
-    per = articles.select(
+    per = articles.select("story_id", "article_id", "summary", usable.alias("usable"))
+    usable = F.col("usable")
+    per = per.select(
         "story_id", "article_id",
         F.when(usable, X.word_count(d)).otherwise(0).alias("words"),
         F.when(usable, parts - open_end).otherwise(0).alias("ended"),
@@ -580,9 +591,15 @@ def p36(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY article_id) = 1""",
 )
 def p37(spark, sf_dir):
-    found = fallback(spark, sf_dir).filter("summary IS NOT NULL")
-    best = found.groupBy("story_id").agg(F.min(F.struct("article_id", "summary")).alias("b"))
-    return best.select(
+    best = fallback(spark, sf_dir).groupBy("story_id").agg(
+        F.min(
+            X.let(
+                F.col("summary"),
+                lambda s: F.when(s.isNotNull(), F.struct(F.col("article_id"), s.alias("summary"))),
+            )
+        ).alias("b")
+    )
+    return best.filter("b IS NOT NULL").select(
         "story_id", "b.article_id", F.concat(F.lit("**Summary**\n"), "b.summary").alias("rendered")
     )
 
