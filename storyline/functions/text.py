@@ -310,17 +310,23 @@ def _opening_repeats(words: Column) -> Column:
 
 def _shingle_repeats(words: Column) -> Column:
     """Any run of five words three times: equal neighbours two apart once the runs are sorted."""
-    runs = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - 4),
-            lambda i: F.array_join(F.slice(words, i, 5), " "),
-        )
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size(words) - 4),
+        lambda i: F.array_join(F.slice(words, i, 5), " "),
     )
     thrice = let(
         runs,
-        lambda r: F.exists(
-            F.sequence(F.lit(1), F.size(r) - 2), lambda i: F.get(r, i - 1) == F.get(r, i + 1)
-        ),
+        lambda raw: F.when(
+            # Three equal runs leave at least two fewer distinct ones: most texts stop here.
+            F.size(F.array_distinct(raw)) <= F.size(raw) - 2,
+            let(
+                F.array_sort(raw),
+                lambda r: F.exists(
+                    F.sequence(F.lit(1), F.size(r) - 2),
+                    lambda i: F.get(r, i - 1) == F.get(r, i + 1),
+                ),
+            ),
+        ).otherwise(F.lit(False)),
     )
     return F.when(F.size(words) >= 18, thrice).otherwise(F.lit(False))
 
@@ -531,16 +537,49 @@ def _publishable(text: Column, title: Column) -> Column:
         ),
     )
 
-    def pick(u: Column) -> Column:
-        keep = F.filter(
-            sentences(u), lambda s: (F.length(s) >= 35) & ~repeats_reference(s, title)
+    def pick(x: Column) -> Column:
+        # Stops looking after two sentences; the headline is compared in prepared form.
+        def fits(s: Column) -> Column:
+            return let(
+                comparison_text(s),
+                lambda c: (c != "")
+                & ~overlap_redundant(c, content_words(c), x["title"], x["words"]),
+            )
+
+        keep = F.aggregate(
+            sentences(x["text"]),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(
+                (F.size(acc) < 2) & (F.length(s) >= 35) & fits(s), F.concat(acc, F.array(s))
+            ).otherwise(acc),
+        )
+        return let(
+            F.array_join(keep, " "),
+            lambda j: F.when(
+                (j != "") & ~j.rlike(r"[.!?]$"), F.concat(j, F.lit("."))
+            ).otherwise(j),
         )
-        joined = F.array_join(F.slice(keep, 1, 2), " ")
-        return F.when(
-            (joined != "") & ~joined.rlike(r"[.!?]$"), F.concat(joined, F.lit("."))
-        ).otherwise(joined)
 
-    return let(let(usable, pick), lambda s: checked_sentence(s, "summary text", 800)["value"])
+    known = let(
+        comparison_text(title),
+        lambda t: F.struct(t.alias("title"), content_words(t).alias("words")),
+    )
+    chosen = let(
+        F.struct(usable.alias("text"), known.alias("k")),
+        lambda x: F.when(
+            x["text"].isNotNull(),
+            let(
+                F.struct(
+                    x["text"].alias("text"), x["k"]["title"].alias("title"), x["k"]["words"].alias("words")
+                ),
+                pick,
+            ),
+        ),
+    )
+    return let(
+        chosen,
+        lambda s: F.when(s.isNotNull(), checked_sentence(s, "summary text", 800)["value"]),
+    )
 
 
 def fallback_quality(col: Column) -> Column:

@@ -19,17 +19,28 @@ def with_overrides(overrides: dict[str, tuple[str, ...]] | None = None) -> dict[
     return rules
 
 
-def _term_pattern(term: str) -> str:
-    return r"(?<![A-Za-z0-9_])" + re.escape(term.casefold()) + r"(?![A-Za-z0-9_])"
+def _first_word(term: str) -> str:
+    return re.match(r"[a-z0-9_]+", term.casefold()).group()
 
 
-def _hits(text: Column, terms) -> Column:
-    """How many of ``terms`` occur as whole words; a plain substring test guards each pattern."""
-    total = F.lit(0)
-    for term in terms:
-        found = text.contains(term.casefold()) & text.rlike(_term_pattern(term))
-        total = total + found.cast("int")
-    return total
+def _terms(terms) -> Column:
+    """Constant array of (first word, whole-word pattern) per term."""
+
+    def q(v):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    rows = []
+    for t in terms:
+        pattern = "(?<![A-Za-z0-9_])" + re.escape(t.casefold()) + "(?![A-Za-z0-9_])"
+        rows.append(f"named_struct('f', {q(_first_word(t))}, 'p', {q(pattern)})")
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
+def _hits(terms: Column, text: Column, present: Column) -> Column:
+    """How many terms occur; patterns run only for terms whose first word is in the text."""
+    return F.size(
+        F.filter(terms, lambda t: F.array_contains(present, t["f"]) & F.rlike(text, t["p"]))
+    )
 
 
 def classify(
@@ -46,7 +57,9 @@ def classify(
         scored = F.array(
             *[
                 F.struct(
-                    (-(3 * _hits(x["t"], terms) + _hits(x["d"], terms))).alias("s"),
+                    (
+                        -3 * _hits(_terms(terms), x["t"], x["tp"]) - _hits(_terms(terms), x["d"], x["dp"])
+                    ).alias("s"),
                     F.lit(i).alias("o"),
                     F.lit(tag).alias("tag"),
                 )
@@ -64,12 +77,27 @@ def classify(
             ),
         )
 
+    firsts = literal_array(sorted({_first_word(t) for terms in rules.values() for t in terms}))
+
+    def present(text: Column) -> Column:
+        # One pass over the words instead of one scan per term.
+        return F.array_intersect(F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), F.lit(0)), firsts)
+
     texts = F.struct(
         ascii_words(casefold(title)).alias("t"),
         ascii_words(casefold(summary)).alias("d"),
         given.alias("g"),
     )
-    return let(texts, score)
+    return let(
+        let(
+            texts,
+            lambda x: F.struct(
+                x["t"].alias("t"), x["d"].alias("d"), x["g"].alias("g"),
+                present(x["t"]).alias("tp"), present(x["d"]).alias("dp"),
+            ),
+        ),
+        score,
+    )
 
 
 def tags_for_state(tags: Column, state: Column) -> Column:

@@ -56,6 +56,7 @@ PUBLICATION = ("published", "published", "pending", "published", "failed", "publ
 ANALYSIS = ("disabled", "ready", "failed", "ready", "disabled")
 ZONE, WEEKDAY, HOUR = "America/Chicago", 5, 12
 NOW = "2024-01-28 00:00:00"
+BASE_US = 1704067200000000  # 2024-01-01T00:00:00Z
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,7 +85,9 @@ def sql_pick(options, index: str) -> str:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed items: documents dated by the event of the same id."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    when = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    # Event times are stretched tenfold from the first day on, so documents span weeks.
+    spread = F.timestamp_micros(F.lit(BASE_US) + (F.unix_micros("ts") - BASE_US) * 10)
+    when = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), spread.alias("ts"))
     i = F.col("doc_id")
     lead = F.regexp_replace(
         F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,11})", 1), r"\s+", " "
@@ -122,7 +125,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ITEMS_CTE = f"""lead AS (
-  SELECT d.doc_id AS i, d.text, d.lang, d.source, e.ts,
+  SELECT d.doc_id AS i, d.text, d.lang, d.source,
+         make_timestamp({BASE_US} + (epoch_us(e.ts) - {BASE_US}) * 10) AS ts,
          regexp_replace(regexp_extract(d.text, '^\\s*(\\S+(?:\\s+\\S+){{0,11}})', 1), '\\s+', ' ', 'g') AS lead
   FROM documents d JOIN events e ON d.doc_id = e.event_id),
 items AS (
