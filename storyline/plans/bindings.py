@@ -55,7 +55,7 @@ PUBLICATION = ("published", "published", "pending", "published", "failed", "publ
                "uncertain", "published", "published", "pending")
 ANALYSIS = ("disabled", "ready", "failed", "ready", "disabled")
 ZONE, WEEKDAY, HOUR = "America/Chicago", 5, 12
-NOW = "2024-01-28 00:00:00"
+NOW = "2024-01-09 00:00:00"
 BASE_US = 1704067200000000  # 2024-01-01T00:00:00Z
 
 
@@ -85,16 +85,21 @@ def sql_pick(options, index: str) -> str:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed items: documents dated by the event of the same id."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    # Event times are stretched tenfold from the first day on, so documents span weeks.
-    spread = F.timestamp_micros(F.lit(BASE_US) + (F.unix_micros("ts") - BASE_US) * 10)
+    # Event times are stretched threefold from the first day on, so documents span weeks.
+    spread = F.timestamp_micros(F.lit(BASE_US) + (F.unix_micros("ts") - BASE_US) * 3)
     when = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), spread.alias("ts"))
     i = F.col("doc_id")
     lead = F.regexp_replace(
         F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,11})", 1), r"\s+", " "
     )
     short = F.regexp_extract(lead, r"^(\S+(?: \S+){0,2})", 1)
-    phrase = pick(PHRASES, F.floor(i / 3))
-    title = F.when(i % 3 == 0, F.concat(phrase, F.lit(" "), short)).otherwise(lead)
+    # A sixth of all items repeat five headlines (near copies); another sixth vary on all phrases.
+    phrase = F.when(i % 6 == 0, pick(PHRASES[:5], F.floor(i / 6))).otherwise(pick(PHRASES, F.floor(i / 3)))
+    title = (
+        F.when(i % 6 == 0, phrase)
+        .when(i % 3 == 0, F.concat(phrase, F.lit(" "), short))
+        .otherwise(lead)
+    )
     summary = (
         F.when(i % 7 == 3, F.concat(pick(fixed.PAGE_MARKERS, i), F.lit(" "), F.col("text")))
         .when(i % 3 == 0, F.concat(phrase, F.lit(". "), F.col("text")))
@@ -126,15 +131,17 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ITEMS_CTE = f"""lead AS (
   SELECT d.doc_id AS i, d.text, d.lang, d.source,
-         make_timestamp({BASE_US} + (epoch_us(e.ts) - {BASE_US}) * 10) AS ts,
+         make_timestamp({BASE_US} + (epoch_us(e.ts) - {BASE_US}) * 3) AS ts,
          regexp_replace(regexp_extract(d.text, '^\\s*(\\S+(?:\\s+\\S+){{0,11}})', 1), '\\s+', ' ', 'g') AS lead
   FROM documents d JOIN events e ON d.doc_id = e.event_id),
 items AS (
   SELECT i AS article_id, CAST(i AS VARCHAR) AS external_id, i % 20 + 1 AS feed_id,
          i // 3 AS story_id, CAST(1 AS BIGINT) AS guild_id, lang AS forum, source AS feed_name,
-         CASE WHEN i % 3 = 0 THEN {sql_pick(PHRASES, "i // 3")} || ' ' ||
+         CASE WHEN i % 6 = 0 THEN {sql_pick(PHRASES[:5], "i // 6")}
+              WHEN i % 3 = 0 THEN {sql_pick(PHRASES, "i // 3")} || ' ' ||
               regexp_extract(lead, '^(\\S+(?: \\S+){{0,2}})', 1) ELSE lead END AS title,
          CASE WHEN i % 7 = 3 THEN {sql_pick(fixed.PAGE_MARKERS, "i")} || ' ' || text
+              WHEN i % 6 = 0 THEN {sql_pick(PHRASES[:5], "i // 6")} || '. ' || text
               WHEN i % 3 = 0 THEN {sql_pick(PHRASES, "i // 3")} || '. ' || text
               ELSE text END AS summary,
          {sql_pick(PUBLISHERS, "i")} AS publisher,

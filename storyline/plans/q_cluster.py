@@ -58,15 +58,15 @@ SCORE_SQL = """greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.29::DOUBLE * hj + 0.21
 SUPPORT_SQL = "(ev >= 0 AND ((hj >= 0.58 AND (ent >= 0.25 OR kw >= 0.4)) OR (hj >= 0.72 AND descr >= 0.2)))"
 
 
-# --- signals over given pairs: each article with the one 75 before it (same lead phrase) -------
+# --- signals over given pairs: each article with the one 30 before it (same lead phrase) -------
 PAIR_CTE = f"""{FEATURES_CTE}, s AS (SELECT a.article_id AS left_id, b.article_id AS right_id, {signals_sql('a', 'b', cos('a.k', 'b.k'))}
-   FROM f a JOIN f b ON b.article_id = a.article_id - 75), sc AS (SELECT *, {SCORE_SQL} AS score, {SUPPORT_SQL} AS support FROM s)"""
+   FROM f a JOIN f b ON b.article_id = a.article_id - 30), sc AS (SELECT *, {SCORE_SQL} AS score, {SUPPORT_SQL} AS support FROM s)"""
 
 
 def paired(spark, sf_dir, options):
     arts = features(spark, sf_dir)
-    pairs = arts.filter("article_id >= 75").select(
-        F.col("article_id").alias("left_id"), (F.col("article_id") - 75).alias("right_id")
+    pairs = arts.filter("article_id >= 30").select(
+        F.col("article_id").alias("left_id"), (F.col("article_id") - 30).alias("right_id")
     )
     return Y.score_columns(Y.article_signals(pairs, arts), options, None)
 
@@ -104,15 +104,15 @@ def g3(spark, sf_dir):
     "g5_significant_update",
     f"""WITH {FEATURES_CTE.replace('WITH ', '', 1)} SELECT a.article_id AS left_id, b.article_id AS right_id,
       1.0::DOUBLE - greatest({jac('a.t', 'b.t')}, {jac('a.k', 'b.k')}) >= 0.38::DOUBLE OR len(list_filter(a.n, lambda x: NOT list_contains(b.n, x))) > 0
-      OR len(list_filter(a.e, lambda x: NOT list_contains(b.e, x))) > 0 AS significant FROM f a JOIN f b ON b.article_id = a.article_id - 75""",
+      OR len(list_filter(a.e, lambda x: NOT list_contains(b.e, x))) > 0 AS significant FROM f a JOIN f b ON b.article_id = a.article_id - 30""",
 )
 def g5(spark, sf_dir):
     arts = features(spark, sf_dir)
-    other = arts.select((F.col("article_id") + 75).alias("article_id"), *[F.col(c).alias(f"b_{c}") for c in ("title_tokens", "keywords", "numbers", "entities")])
+    other = arts.select((F.col("article_id") + 30).alias("article_id"), *[F.col(c).alias(f"b_{c}") for c in ("title_tokens", "keywords", "numbers", "entities")])
     j = arts.join(other, "article_id")
     facts = (F.size(F.array_except("numbers", "b_numbers")) > 0) | (F.size(F.array_except("entities", "b_entities")) > 0)
     return j.select(
-        F.col("article_id").alias("left_id"), (F.col("article_id") - 75).alias("right_id"),
+        F.col("article_id").alias("left_id"), (F.col("article_id") - 30).alias("right_id"),
         G.is_significant(
             Y.jaccard(F.col("title_tokens"), F.col("b_title_tokens")), Y.jaccard(F.col("keywords"), F.col("b_keywords")), facts
         ).alias("significant"),
@@ -143,7 +143,7 @@ def j2_full(spark, sf_dir):
 @query(
     "g4_select_story",
     f"""WITH {FEATURES_CTE.replace('WITH ', '', 1)},
-    st AS (SELECT a.article_id, a.us AS a_us, b.story_id AS root, max(b.us) AS us, arg_max(b.t, (b.priority, -b.us, -b.article_id)) AS t,
+    st AS (SELECT a.article_id, a.us AS a_us, b.story_id * 100 + instr('en fr de es', b.forum) AS root, max(b.us) AS us, arg_max(b.t, (b.priority, -b.us, -b.article_id)) AS t,
       list_distinct(flatten(list(b.e))) AS e, list_sort(list_distinct(flatten(list(b.k))))[1:24] AS k, list_distinct(flatten(list(b.n))) AS n, list_distinct(flatten(list(b.v))) AS v
       FROM f a JOIN f b ON a.forum = b.forum AND (b.us, b.article_id) < (a.us, a.article_id) WHERE a.article_id % 2 = 1 AND b.article_id % 2 = 0 GROUP BY ALL),
     sg AS (SELECT a.article_id, st.root, st.us AS updated, {signals_sql('a', 'st', cos('a.d', 'st.k'))},
@@ -156,7 +156,9 @@ def j2_full(spark, sf_dir):
 def g4(spark, sf_dir):
     """New (odd) articles against the stories that the even ones formed before each of them."""
     arts = G.cut_lineage(G.with_order(features(spark, sf_dir)))
-    members = arts.filter("article_id % 2 = 0").withColumn("root", F.col("story_id"))
+    members = arts.filter("article_id % 2 = 0").withColumn(
+        "root", F.col("story_id") * 100 + F.position(F.col("forum"), F.lit("en fr de es"))
+    )
     return G.select_stories(arts.filter("article_id % 2 = 1"), members, PLAIN).select(
         "article_id", "root", six("score"), "significant"
     )
@@ -175,7 +177,7 @@ def g6(spark, sf_dir):
     return out.select("article_id", "root", six("score"), "significant")
 
 
-GROUPS_CTE = f"""{FEATURES_CTE}, gs AS (SELECT f.* EXCLUDE (story_id), article_id // 150 * 75 + article_id % 75 AS story_id FROM f),
+GROUPS_CTE = f"""{FEATURES_CTE}, gs AS (SELECT f.* EXCLUDE (story_id), article_id // 60 * 30 + article_id % 30 AS story_id FROM f),
  sizes AS (SELECT story_id, count(*) AS n, max(us) AS u FROM gs GROUP BY story_id), {pairs_cte('gs')},
  dir AS (SELECT p.score, CASE WHEN small THEN p.left_id ELSE p.right_id END AS art, CASE WHEN small THEN a.story_id ELSE b.story_id END AS small_id,
    CASE WHEN small THEN b.story_id ELSE a.story_id END AS large_id, least(a.n, b.n) AS small_n
@@ -188,7 +190,7 @@ GROUPS_CTE = f"""{FEATURES_CTE}, gs AS (SELECT f.* EXCLUDE (story_id), article_i
 def grouped(spark, sf_dir):
     """Articles grouped in twos of the same lead phrase, so that whole stories repeat."""
     i = F.col("article_id")
-    arts = G.cut_lineage(features(spark, sf_dir).withColumn("story_id", F.floor(i / 150) * 75 + i % 75))
+    arts = G.cut_lineage(features(spark, sf_dir).withColumn("story_id", F.floor(i / 60) * 30 + i % 30))
     last = arts.groupBy("story_id").agg(F.max("published_us").alias("last_updated_us"))
     return arts.join(last, "story_id")
 

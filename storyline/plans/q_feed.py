@@ -85,11 +85,11 @@ def f5(spark, sf_dir):
 @query(
     "f6_due_feeds",
     f"""WITH {B.ITEMS_CTE}, {B.FEEDS_CTE} SELECT feed_id, name, epoch_us(next_poll_at) AS next_us FROM feeds
-    WHERE state = 'active' AND next_poll_at <= TIMESTAMP '2024-01-30 12:00:00' ORDER BY next_poll_at, feed_id""",
+    WHERE state = 'active' AND next_poll_at <= TIMESTAMP '2024-01-09 12:00:00' ORDER BY next_poll_at, feed_id""",
 )
 def f6(spark, sf_dir):
     due = B.feeds(spark, sf_dir).filter(
-        (F.col("state") == "active") & (F.col("next_poll_at") <= F.lit("2024-01-30 12:00:00").cast("timestamp"))
+        (F.col("state") == "active") & (F.col("next_poll_at") <= F.lit("2024-01-09 12:00:00").cast("timestamp"))
     )
     return due.orderBy("next_poll_at", "feed_id").select(
         "feed_id", "name", F.unix_micros("next_poll_at").alias("next_us")
@@ -254,7 +254,7 @@ def f16(spark, sf_dir):
 
 # --- pages and points -------------------------------------------------------------------------
 FEED_QUERY = FeedQuery(limit=15, search="e", bias="")
-PAGE_CURSOR = ("2024-01-20 00:00:00", 100000)
+PAGE_CURSOR = ("2024-01-08 00:00:00", 100000)
 
 
 @query(
