@@ -206,10 +206,11 @@ def mark_cleared(stories: DataFrame, cleared: DataFrame, action: str, now: Colum
     if action not in ("archive", "delete"):
         raise ValueError("cleanup action must be archive or delete")
     flag = cleared.select("story_id").withColumn("_c", F.lit(True))
+    known = F.col("clear_action") if "clear_action" in stories.columns else F.lit(None).cast("string")
     marked = stories.join(flag, "story_id", "left").select(
-        *[c for c in stories.columns if c != "cleared_at"],
+        *[c for c in stories.columns if c not in ("cleared_at", "clear_action")],
         F.when(F.col("_c"), now).otherwise(F.col("cleared_at")).alias("cleared_at"),
-        F.when(F.col("_c"), F.lit(action)).alias("clear_action"),
+        F.when(F.col("_c"), F.lit(action)).otherwise(known).alias("clear_action"),
     )
     log = cleared.select("story_id", F.lit(f"cleanup_{action}").alias("action"), now.alias("created_at"))
     return marked, log
