@@ -84,10 +84,18 @@ def sql_pick(options, index: str) -> str:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed items: documents dated by the event of the same id."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    # Event times are stretched threefold from the first day on, so documents span weeks.
+    return items_of(read(spark, sf_dir, "documents"), event_times(spark, sf_dir))
+
+
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates by document id: event times, stretched threefold so that documents span days."""
     spread = F.timestamp_micros(F.lit(BASE_US) + (F.unix_micros("ts") - BASE_US) * 3)
-    when = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), spread.alias("ts"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), spread.alias("ts"))
+
+
+def items_of(documents: DataFrame, when: DataFrame) -> DataFrame:
+    """Feed items from documents and their dates."""
+    docs = documents.select("doc_id", "text", "lang", "source")
     i = F.col("doc_id")
     lead = F.regexp_replace(
         F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,11})", 1), r"\s+", " "
