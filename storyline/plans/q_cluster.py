@@ -173,7 +173,7 @@ def arrivals(spark, sf_dir):
 
 @query("g6_online_assignment")
 def g6(spark, sf_dir):
-    out = G.assign_stories(arrivals(spark, sf_dir), FULL)
+    out = G.assign_stories(arrivals(spark, sf_dir), ScoreOptions(threshold=0.85))
     return out.select("article_id", "root", six("score"), "significant")
 
 
