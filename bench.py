@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from storyline.plans import load_all
@@ -30,6 +31,7 @@ def main():
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - start, 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline queries, wall time", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
