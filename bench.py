@@ -10,10 +10,9 @@ from storyline.plans.registry import QUERIES
 from storyline.session import build_session
 
 HEADLINE = (
-    "p4_normalize_url", "p13_normalize_item", "p12_source_artifacts", "c1_classify", "d1_duplicate_lookup",
-    "d2_greedy_first_wins", "f2_search", "w3_keyset_page", "a3_source_balance", "a7_weekly_candidates",
-    "a8_feature_rollup", "j1_candidate_window", "w9_message_context", "j2_similar_articles_with_sequence",
-    "g10_story_graph", "s1_feed_items", "s7_page_articles",
+    "p4_normalize_url", "p13_normalize_item", "c1_classify", "d1_duplicate_lookup", "f2_search", "w3_keyset_page",
+    "a3_source_balance", "a7_weekly_candidates", "j1_candidate_window", "w9_message_context", "s1_feed_items",
+    "s7_page_articles", "j2_similar_articles_with_sequence",
 )
 
 

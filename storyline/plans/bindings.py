@@ -65,7 +65,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     naive = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+    # A text table in one small file would keep all but one core idle; tables with enough
+    # splits, as on a cluster, are never shuffled here.
+    cores = spark.sparkContext.defaultParallelism
+    if table in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def pick(options, index: Column) -> Column:
