@@ -24,3 +24,128 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyline.llm.parity_join import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+SHARDS = [f"shard-{k:02d}" for k in range(32)]
+
+
+@_query
+def op1_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, slot and shard of every document."""
+    from storyline.llm.shards import place
+
+    return place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def _op1_sql() -> str:
+    from storyline.llm.shards import lookup_table
+
+    table = lookup_table(SHARDS)
+    names = ",".join(SHARDS[k] for k in table)
+    return f"""
+    select doc_id, slot::int as slot, string_split('{names}', ',')[slot + 1] as shard
+    from (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % {len(table)} as slot
+          from documents)
+    """
+
+
+ORACLES["op1_shard_table"] = _op1_sql()
+
+
+@_query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every document."""
+    from storyline.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's best window in each document that holds it."""
+    from storyline.llm.decontaminate import benchmark_hits
+
+    return benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+TOOLS = {
+    "search": {
+        "properties": {
+            "limit": {"type": "integer", "minimum": 1, "maximum": 5},
+            "query": {"type": "string", "minLength": 20, "maxLength": 400},
+        },
+        "required": ["limit", "query"],
+        "additionalProperties": False,
+    },
+    "configure": {
+        "properties": {"instructions": {"type": "string", "maxLength": 300}},
+        "required": ["instructions"],
+        "additionalProperties": False,
+    },
+}
+
+
+@_query
+def op2_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as tool calls: what is asked is a call, the turn that answers it its result; every seventh log is reversed."""
+    from storyline.llm.tool_calls import link_calls
+
+    turns = _table(spark, sf_dir, "conversations")
+    place = F.when(F.col("conv_id") % 7 == 0, -F.col("turn")).otherwise(F.col("turn"))
+    asked = turns.filter("role <> 'assistant'")
+    user = F.col("role") == "user"
+    calls = asked.select(
+        "conv_id",
+        F.concat_ws(":", "conv_id", "turn").alias("call_id"),
+        F.when(user, "search").otherwise("configure").alias("name"),
+        F.when(user, F.to_json(F.struct(F.col("text").alias("query"), (F.col("turn") + 1).alias("limit"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("instructions")))).alias("arguments"),
+        F.array(F.concat_ws(":", F.col("conv_id"), F.col("turn") - 2)).alias("after"),
+        place.alias("place"),
+    )
+    results = turns.filter("role = 'assistant'").select(
+        "conv_id", F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"),
+        place.alias("place"),
+    )
+    linked = link_calls(calls, results, TOOLS)
+    return linked.withColumn("errors", F.concat_ws("; ", "errors"))
+
+
+ORACLES["op2_tool_call_links"] = """
+with recursive
+asked as (
+    select conv_id, turn, conv_id || ':' || turn as call_id, role, text,
+           case when conv_id % 7 = 0 then -turn else turn end as place
+    from conversations where role <> 'assistant'
+),
+answers as (
+    select conv_id, conv_id || ':' || (turn - 1) as call_id, arg_min(text, (case when conv_id % 7 = 0 then -turn else turn end, text)) as content,
+           count(*) as n_results
+    from conversations where role = 'assistant' group by 1, 2
+),
+chain as (
+    select conv_id, turn, 0 as level from asked a
+    where not exists (select 1 from asked b where b.conv_id = a.conv_id and b.turn = a.turn - 2)
+    union all
+    select a.conv_id, a.turn, c.level + 1 from asked a join chain c on a.conv_id = c.conv_id and a.turn = c.turn + 2
+),
+odd as (select distinct conv_id from chain where conv_id % 7 = 0 and level > 0)
+select a.conv_id, a.call_id, case when o.conv_id is null then a.place else c.level end::bigint as level,
+       case when r.n_results is null then 'open' else 'linked' end as status, coalesce(r.n_results, 0) as n_results,
+       case when a.role = 'user' then concat_ws('; ',
+                case when a.text is null then 'query: missing' end,
+                case when a.turn + 1 < 1 then 'limit: below 1' when a.turn + 1 > 5 then 'limit: above 5' end,
+                case when length(a.text) < 20 then 'query: shorter than 20' when length(a.text) > 400 then 'query: longer than 400' end)
+            else concat_ws('; ', case when a.text is null then 'instructions: missing' end,
+                case when length(a.text) > 300 then 'instructions: longer than 300' end) end as errors,
+       '{"arguments":' || case when a.role = 'user' then '{"limit":' || (a.turn + 1) || ',"query":' || to_json(a.text) || '}'
+                               else '{"instructions":' || to_json(a.text) || '}' end
+       || ',"call_id":"' || a.call_id || '","name":"' || case when a.role = 'user' then 'search' else 'configure' end
+       || '","result":' || coalesce(to_json(r.content)::varchar, 'null') || '}' as json
+from asked a join chain c using (conv_id, turn) left join odd o on o.conv_id = a.conv_id
+left join answers r on r.conv_id = a.conv_id and r.call_id = a.call_id
+union all
+select r.conv_id, r.call_id, null, 'orphan', r.n_results, 'no such call',
+       '{"arguments":null,"call_id":"' || r.call_id || '","name":null,"result":' || coalesce(to_json(r.content)::varchar, 'null') || '}'
+from answers r where not exists (select 1 from asked a where a.conv_id = r.conv_id and a.call_id = r.call_id)
+"""
