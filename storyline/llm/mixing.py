@@ -150,7 +150,7 @@ def mix(
     chosen = cut_lineage(chosen)
     drawn = sized.join(chosen, ["key", "size"], "left").withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "key", "size"))
     piece = F.pmod(F.shiftrightunsigned("draw", 20), F.ceil(F.col("n") / RANKED))
-    drawn = drawn.withColumn("piece", F.coalesce(piece, F.lit(0)))
+    drawn = drawn.withColumn("piece", F.coalesce(piece, F.lit(0))).repartition("key", "size", "piece")
     large = drawn.filter(f"n > {RANKED}").groupBy("key", "size", "piece").agg(F.count("*").alias("k"))
     before = Window.partitionBy("key", "size").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offset = large.select("key", "size", "piece", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))
