@@ -149,3 +149,27 @@ select r.conv_id, r.call_id, null, 'orphan', r.n_results, 'no such call',
        '{"arguments":null,"call_id":"' || r.call_id || '","name":null,"result":' || coalesce(to_json(r.content)::varchar, 'null') || '}'
 from answers r where not exists (select 1 from asked a where a.conv_id = r.conv_id and a.call_id = r.call_id)
 """
+
+
+def _remainder(id, by: int):
+    return F.crc32(id.cast("string").cast("binary")) % by
+
+
+@_query
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    from storyline.llm.quality import quality_scores
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality_scores(docs, labels, held_out=lambda id: _remainder(id, 4) == 2)
+
+
+@_query
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest of the fixed shapes and all spans of every document."""
+    from storyline.llm.secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"),
+        F.col("spans_text").alias("spans"),
+    )
