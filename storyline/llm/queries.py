@@ -173,3 +173,11 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"),
         F.col("spans_text").alias("spans"),
     )
+
+
+@_query
+def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, base score and suffix-tree score of every document."""
+    from storyline.llm.suffix_tree import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), held_out=lambda id: _remainder(id, 7) == 2)
