@@ -181,3 +181,11 @@ def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyline.llm.suffix_tree import score_texts
 
     return score_texts(_table(spark, sf_dir, "documents"), held_out=lambda id: _remainder(id, 7) == 2)
+
+
+@_query
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and the language shares of every document."""
+    from storyline.llm.languages import identify
+
+    return identify(_table(spark, sf_dir, "documents"), held_out=lambda id: _remainder(id, 5) == 0)
