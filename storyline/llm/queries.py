@@ -189,3 +189,11 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyline.llm.languages import identify
 
     return identify(_table(spark, sf_dir, "documents"), held_out=lambda id: _remainder(id, 5) == 0)
+
+
+@_query
+def op4_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score: 20 nearest vectors of every twentieth."""
+    from storyline.llm.cross_polytope import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
