@@ -23,6 +23,9 @@ FEATURES = (
     "newlines", "distinct_words", "top_word", "distinct_pairs", "distinct_runs", "first_upper", "all_upper", "repeat_next",
     "digit_words", "marked_words", "symbol_kinds", "entropy", "word_spread", "sentence_ends", "line_bytes",
 )
+#: Labelled rows that the trees learn from at most (200 bytes each).
+SAMPLE = 30_000
+ROWS = 500
 _PUNCTUATION = np.frombuffer(b".,;:!?'\"()-", np.uint8)
 _ENDS = np.frombuffer(b".!?", np.uint8)
 
@@ -174,6 +177,42 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 4, rate:
     return trees
 
 
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, y) → (x, y) with the text's statistics."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            piece = batch.slice(at, ROWS)
+            values = pa.array(statistics(piece.column(0)).ravel())
+            x = pa.FixedSizeListArray.from_arrays(values, len(FEATURES)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([x, piece.column(1)], ["x", "y"])
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", held_out=None,
+    sample: int = SAMPLE, seed: int = 0,
+) -> Trees:
+    """Trees from the documents of at most ``sample`` labels, those first in a seeded order; only these are measured.
+
+    ``held_out`` is a condition on the id column whose rows are never learnt from. The bound is what one process holds and
+    what is broadcast. Null ids, labels other than 0 and 1, and labels without a document teach nothing.
+    """
+    out = F.lit(False) if held_out is None else F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    marked = labels.select(F.col(id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    marked = marked.filter("doc_id is not null and y in (0, 1)").filter(~out)
+    first = cut_lineage(marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "y").limit(sample))
+    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    known = texts.join(F.broadcast(first), "doc_id").select("text", "y").mapInArrow(_measure, "x array<double>, y int").toArrow()
+    x = known.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    y = known.column("y").to_numpy().astype(np.float64)
+    order = np.lexsort((*x.T, y))  # rows may come in any order; sums of gradients shall not differ
+    return train(x[order], y[order])
+
+
+def _scores(trees: Trees, column: pa.Array) -> np.ndarray:
+    parts = [trees.score(statistics(column.slice(at, ROWS))) for at in range(0, len(column), ROWS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -181,41 +220,39 @@ def quality_scores(
     text: str = "text",
     label: str = "quality",
     held_out=None,
-    sample: int = 30_000,
+    sample: int = SAMPLE,
     threshold: float = 0.7,
-    seed: int = 0,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
-    ``held_out`` is a condition on the id column whose rows are never learnt from (none by default). The trees learn from
-    at most ``sample`` labelled rows, those first in a seeded order: the bound on what one process holds. Null and empty
-    texts are scored like any text; null ids or labels and labels without a document are not learnt from, repeated rows
-    are rows of their own; other columns are ignored. Without labels the score is 0.5; an empty table gives no rows.
+    Learns as ``fit`` says. Null and empty texts are scored like any text; null ids and repeated rows are rows of their own;
+    other columns are ignored. Without labels the score is 0.5; an empty table gives no rows. No shuffle of documents.
     """
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                x = statistics(piece.column(1))
-                values = pa.array(x.astype(np.float64).ravel())
-                rows = pa.FixedSizeListArray.from_arrays(values, len(FEATURES)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([piece.column(0), rows], ["doc_id", "x"])
-
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id, text, label, held_out, sample))
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    measured = cut_lineage(texts.mapInArrow(measure, "doc_id long, x array<double>"))
     out = F.lit(False) if held_out is None else F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    marked = labels.select(F.col(id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = measured.filter(~out).join(marked.filter("y in (0, 1)"), "doc_id")
-    first = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "y").limit(sample).select("x", "y").toArrow()
-    x = np.array(first.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    trees = train(x, first.column("y").to_numpy().astype(np.float64))
-    model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(x))], ["doc_id", "score"])
+            scores = pa.array(_scores(model.value, batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
 
-    scored = measured.mapInArrow(score, "doc_id long, score double")
+    scored = texts.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
+    sample: int = SAMPLE, threshold: float = 0.7,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; without usable labels, all rows."""
+    trees = fit(docs, labels, id, text, label, sample=sample)
+    if not len(trees.feature):
+        return docs
+    model, place = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model.value, batch.column(place)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
