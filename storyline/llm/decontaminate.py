@@ -62,6 +62,14 @@ class Index:
         """Runs of ``k`` words; runs shorter than a shingle stand for whole items of that length and hash apart."""
         return words.runs(hashes, k) if k == self.n else words.mix(words.runs(hashes, k) + np.uint64(k))
 
+    def held(self, grams: np.ndarray) -> np.ndarray:
+        """Positions of shingles that some item holds: a bitmap passes few others, a search the items' alone."""
+        at = np.flatnonzero(self.gate[grams & np.uint64((1 << _GATE_BITS) - 1)])
+        if not len(at):
+            return at
+        place = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
+        return at[self.known[place] == grams[at]]
+
     def weights(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.full(len(grams), self.other)
@@ -141,17 +149,15 @@ class Index:
 def _search(index: Index, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = sorted({int(m) for m in index.sizes if m < index.n})
-        mask = np.uint64((1 << _GATE_BITS) - 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
                 hashes, of = words.tokens(piece.column(1))
                 rows = []
                 grams = words.runs(hashes, index.n)
-                hit = np.flatnonzero(index.gate[grams & mask])
+                hit = index.held(grams)
                 for k in short:
-                    other = index.grams(hashes, k)
-                    hit = np.append(hit, np.flatnonzero(index.gate[other & mask]))
+                    hit = np.append(hit, index.held(index.grams(hashes, k)))
                 for d in np.unique(np.searchsorted(of, hit, "right") - 1).tolist():
                     a, b = int(of[d]), int(of[d + 1])
                     for i, *what in index.search(hashes[a:b], grams[a:max(a, b - index.n + 1)], threshold):
