@@ -139,6 +139,7 @@ def mix(
     goals = targets(totals, weights, share, most)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("size")  # rows come in any order; the choice shall not depend on it
         sizes, n = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         total, goal = int((sizes * n).sum()), float(group["target"].iloc[0])
         whole = min(int(goal // total), most) if total else 0

@@ -72,7 +72,6 @@ def place(
     table = lookup_table(shards, size, weights)
     names = F.split(F.lit("\n".join(shards[k] for k in table)), "\n")
     slots = docs.sparkSession.range(1).select(F.posexplode(names).alias("slot", "shard"))
-    rest = docs.drop("slot", "shard")
-    return rest.withColumn("slot", slot_of(rest[key], len(table))).join(F.broadcast(slots), "slot").select(
-        *rest.columns, "slot", "shard"
-    )
+    kept = [c for c in docs.columns if c not in ("slot", "shard")]
+    placed = docs.select(*kept, slot_of(F.col(key), len(table)).alias("slot"))
+    return placed.join(F.broadcast(slots), "slot").select(*kept, "slot", "shard")
