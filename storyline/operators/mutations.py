@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyline.functions import fixed
 from storyline.functions.clock import retry_delay
+from storyline.session import cut_lineage
 
 A8_SETS = ("entities", "numbers", "event_terms")
 
@@ -216,6 +218,23 @@ def mark_cleared(stories: DataFrame, cleared: DataFrame, action: str, now: Colum
     return marked, log
 
 
+def retention_batches(due: DataFrame, size: int) -> DataFrame:
+    """``due`` with the number (from 0) of the clean-up tick of ``size`` that takes each story, oldest first.
+
+    A global rank without a global sort in one task: rows are split by ranges of age, ranked inside a range, and set off by
+    the counts of the ranges before it.
+    """
+    order = ["last_updated_at", "story_id"]
+    ranged = cut_lineage(due.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranged.withColumn("_place", inside).join(offsets, "_range")
+    batch = F.floor((F.col("_place") + F.col("_before") - 1) / size).cast("long")
+    return placed.withColumn("batch", batch).drop("_range", "_place", "_before")
+
+
 def replace_relationships(edges: DataFrame, analysed: DataFrame, stories: DataFrame) -> DataFrame:
     """Edges after analyses: rows (story_id, related_ids) replace all edges of their stories.
 

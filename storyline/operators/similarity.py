@@ -240,20 +240,24 @@ def salted_pairs(left: DataFrame, right: DataFrame, columns: list[str]) -> DataF
     return a.join(b, [*BLOCK, "slice"])
 
 
-def candidate_pairs(articles: DataFrame, options: ScoreOptions) -> DataFrame:
-    """Distinct pairs (left_id, right_id), left the later one, that may reach the threshold."""
+def candidate_pairs(articles: DataFrame, options: ScoreOptions, window_hours: int | None = None) -> DataFrame:
+    """Distinct pairs (left_id, right_id), left the later one, that may reach the threshold.
+
+    Both are within the window of the options, or of ``window_hours`` where that is given.
+    """
+    hours = window_hours or options.window_hours
     t, e, d = options.article_bounds()
     prefixes = rare_prefixes(
         articles, {"t": (t, "jaccard"), "e": (e, "jaccard"), "k": (d, "cosine")}, ["forum", "published_us"]
     )
-    blocks = window_blocks(prefixes, options.window_hours)
+    blocks = window_blocks(prefixes, hours)
     joined = salted_pairs(blocks.filter("own"), blocks, ["article_id", "published_us", "own"])
-    return oriented(joined, options)
+    return oriented(joined, hours)
 
 
-def oriented(joined: DataFrame, options: ScoreOptions) -> DataFrame:
+def oriented(joined: DataFrame, window_hours: int) -> DataFrame:
     """Distinct later/earlier pairs within the window from rows with l_/r_ ids, times and own."""
-    size = options.window_hours * 3600 * 10**6
+    size = window_hours * 3600 * 10**6
     a = F.struct(F.col("l_published_us"), F.col("l_article_id"))
     b = F.struct(F.col("r_published_us"), F.col("r_article_id"))
     hit = joined.filter(

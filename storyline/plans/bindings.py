@@ -204,7 +204,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
         (s % 2 + 1).alias("guild_id"),
         "forum",
         "title",
-        F.substring("summary", 1, 400).alias("summary"),
+        "summary",
         pick(fixed.STORY_STATES, s).alias("state"),
         pick(PUBLICATION, s).alias("publication_state"),
         F.when(s % 11 != 0, s + 1000000).alias("thread_id"),
@@ -232,7 +232,7 @@ story_base AS (
          min(published_at) AS first_published_at, max(published_at) AS last_published_at
   FROM items GROUP BY story_id),
 stories AS (
-  SELECT s AS story_id, s % 2 + 1 AS guild_id, forum, title, substring(summary, 1, 400) AS summary,
+  SELECT s AS story_id, s % 2 + 1 AS guild_id, forum, title, summary,
          {sql_pick(fixed.STORY_STATES, "s")} AS state,
          {sql_pick(PUBLICATION, "s")} AS publication_state,
          CASE WHEN s % 11 <> 0 THEN s + 1000000 END AS thread_id,

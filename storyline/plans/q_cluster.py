@@ -120,10 +120,10 @@ def g5(spark, sf_dir):
 
 
 # --- blocked joins -------------------------------------------------------------------------------
-def pairs_cte(source: str = "f") -> str:
+def pairs_cte(source: str = "f", window: str = " AND a.us - b.us <= 259200000000") -> str:
     """All supported pairs within the window by brute force, later article first."""
     return f"""ps AS (SELECT a.article_id AS left_id, b.article_id AS right_id, {signals_sql('a', 'b', cos('a.k', 'b.k'))}
-   FROM {source} a JOIN {source} b ON a.forum = b.forum AND (a.us, a.article_id) > (b.us, b.article_id) AND a.us - b.us <= 259200000000),
+   FROM {source} a JOIN {source} b ON a.forum = b.forum AND (a.us, a.article_id) > (b.us, b.article_id){window}),
  similar_pairs AS MATERIALIZED (SELECT * FROM (SELECT *, {SCORE_SQL} AS score, {SUPPORT_SQL} AS support FROM ps) WHERE support AND score >= 0.5)"""
 
 
@@ -178,7 +178,7 @@ def g6(spark, sf_dir):
 
 
 GROUPS_CTE = f"""{FEATURES_CTE}, gs AS (SELECT f.* EXCLUDE (story_id), article_id // 60 * 30 + article_id % 30 AS story_id FROM f),
- sizes AS (SELECT story_id, count(*) AS n, max(us) AS u FROM gs GROUP BY story_id), {pairs_cte('gs')},
+ sizes AS (SELECT story_id, count(*) AS n, max(us) AS u FROM gs GROUP BY story_id), {pairs_cte('gs', '')},
  dir AS (SELECT p.score, CASE WHEN small THEN p.left_id ELSE p.right_id END AS art, CASE WHEN small THEN a.story_id ELSE b.story_id END AS small_id,
    CASE WHEN small THEN b.story_id ELSE a.story_id END AS large_id, least(a.n, b.n) AS small_n
    FROM (SELECT p.*, x.story_id AS ls, y.story_id AS rs FROM similar_pairs p JOIN gs x ON x.article_id = p.left_id JOIN gs y ON y.article_id = p.right_id WHERE x.story_id <> y.story_id) p
@@ -203,7 +203,7 @@ def g7(spark, sf_dir):
 @query(
     "g8_best_merge",
     f"""WITH {GROUPS_CTE.replace('WITH ', '', 1)}, {B.HISTORY_CTE},
-    bare AS (SELECT s.story_id, s.n, s.u, s.story_id % 11 <> 0 AS threaded FROM sizes s WHERE s.story_id NOT IN (SELECT story_id FROM history WHERE history_id % 40 = 0 AND action IN ('manual_merge', 'manual_split', 'manual_split_out'))),
+    bare AS (SELECT s.story_id, s.n, s.u, s.story_id % 11 <> 0 AS threaded FROM sizes s WHERE s.story_id NOT IN (SELECT story_id FROM history WHERE CASE WHEN history_id % 40 = 0 THEN action END IN ('manual_merge', 'manual_split', 'manual_split_out'))),
     c AS (SELECT m.merge_score, (a.threaded, a.n, -a.story_id) >= (b.threaded, b.n, -b.story_id) AS keep, small_id, large_id,
       greatest((a.u, a.story_id), (b.u, b.story_id)) AS p, least((a.u, a.story_id), (b.u, b.story_id)) AS q
       FROM merges m JOIN bare a ON a.story_id = small_id JOIN bare b ON b.story_id = large_id)
@@ -214,7 +214,7 @@ def g8(spark, sf_dir):
     arts = G.cut_lineage(grouped(spark, sf_dir))
     stories = arts.groupBy("story_id").agg(F.timestamp_micros(F.max("published_us")).alias("last_updated_at"))
     stories = stories.withColumn("thread_id", F.when(F.col("story_id") % 11 != 0, F.col("story_id")))
-    log = B.history(spark, sf_dir).filter("history_id % 40 = 0")
+    log = B.history(spark, sf_dir).withColumn("action", F.when(F.col("history_id") % 40 == 0, F.col("action")).otherwise("noted"))
     bare = Q.without_manual_actions(stories, log, F.lit("1970-01-01").cast("timestamp"))
     counts = arts.groupBy("story_id").agg(F.count(F.lit(1)).alias("n"))
     return G.best_merge(G.merge_scores(arts, PLAIN), bare, counts).withColumn("merge_score", F.round("merge_score", 6))

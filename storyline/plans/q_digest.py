@@ -97,23 +97,15 @@ def t7(spark, sf_dir):
 @query(
     "t8_retention_batches",
     f"""{ST} SELECT story_id, CAST((row_number() OVER (ORDER BY last_updated_at, story_id) - 1) // 25 AS BIGINT) AS batch FROM stories
-    WHERE cleared_at IS NULL AND thread_id IS NOT NULL AND state <> 'merged' AND last_updated_at < {Q.NOW_SQL} - INTERVAL 168 HOUR
-    ORDER BY last_updated_at, story_id LIMIT 75""",
+    WHERE cleared_at IS NULL AND thread_id IS NOT NULL AND state <> 'merged' AND last_updated_at < {Q.NOW_SQL} - INTERVAL 168 HOUR""",
 )
 def t8(spark, sf_dir):
-    """Three retention ticks of 25: every tick takes the oldest that are left."""
-    st = B.stories(spark, sf_dir)
-    done = None
-    for tick in range(3):
-        old = st.filter(
-            F.col("cleared_at").isNull() & F.col("thread_id").isNotNull() & (F.col("state") != "merged")
-            & (F.col("last_updated_at") < Q.hours_ago(168))
-        )
-        batch = old.orderBy("last_updated_at", "story_id").limit(25).select("story_id")
-        st = M.mark_cleared(st, batch, "archive", Q.now())[0]
-        mark = batch.select("story_id", F.lit(tick).cast("bigint").alias("batch"))
-        done = mark if done is None else done.unionByName(mark)
-    return done
+    """Every due story with the retention tick of 25 that takes it: each tick takes the oldest that are left."""
+    due = B.stories(spark, sf_dir).filter(
+        F.col("cleared_at").isNull() & F.col("thread_id").isNotNull() & (F.col("state") != "merged")
+        & (F.col("last_updated_at") < Q.hours_ago(168))
+    )
+    return M.retention_batches(due, 25).select("story_id", "batch")
 
 
 DIGEST_CTE = f"""digests AS (SELECT week * 10 + guild_id AS digest_id, guild_id, forum, week, TIMESTAMP '2024-01-01' + to_days(CAST(7 * week AS INTEGER)) AS week_start,

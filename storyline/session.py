@@ -30,11 +30,16 @@ def build_session(master: str = "local[*]", app: str = "storyline", partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's setting, or a scratch one where none is set."""
+    """The shared checkpoint folder: the cluster's setting, or a scratch one where none is set and all runs in one process.
+
+    On a cluster a folder that only one machine sees would lose what executors write, so there the setting is needed.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = configured or tempfile.mkdtemp(prefix="spark-storyline-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -47,7 +47,30 @@ def test_significance(spark):
     got = {r["story_id"]: r for r in R.with_significance(df).collect()}
     assert [got[i]["worthy"] for i in (1, 2, 3)] == [False, True, False]
     assert got[5]["score"] - got[4]["score"] > 30
-    assert R.same_event("Fed cuts rates by 25 bps", "Fed cuts rates 25 bps Reuters")
+
+
+def test_weekly_selection_equals_a_plain_pass(spark):
+    from difflib import SequenceMatcher
+
+    stories = [
+        (k, 1 + k % 2, f"{what} {word} Reuters" if k % 3 else f"{word} {what}", "casualties war invasion election attack", ["World"], "breaking", 2 + k % 5, 9, k % 7)
+        for k, (what, word) in enumerate((a, b) for a in ("troops cross the border", "parliament votes today", "quake hits coast", "banks fail")
+                                         for b in ("again", "now", "overnight", "in force", "at dawn"))
+    ]
+    df = spark.createDataFrame(stories, "story_id long, guild_id int, title string, summary string, tags array<string>, state string, source_count long, article_count long, last_updated_at int")
+    df = df.withColumn("forum", F.lit("f")).withColumn("normalized_title", F.lower("title"))
+    scored = [r for r in R.with_significance(df).collect() if r["eligible"]]
+    assert len(scored) > 10
+    want = {}
+    for guild in (1, 2):
+        told = []
+        for r in sorted((r for r in scored if r["guild_id"] == guild), key=lambda r: (r["score"], r["source_count"], r["last_updated_at"], r["story_id"]), reverse=True):
+            event = " ".join(w for w in r["normalized_title"].split() if w != "reuters")
+            if len(told) < 3 and all(SequenceMatcher(None, e, event).ratio() < 0.6 and SequenceMatcher(None, event, e).ratio() < 0.6 for e in told):
+                told.append(event)
+                want[guild, len(told)] = r["story_id"]
+    got = {(r["guild_id"], r["position"]): r["story_id"] for r in R.select_weekly(df, limit=3).collect()}
+    assert got == want
 
 
 ITEM = "article_id long, feed_id long, external_id string, forum string, priority int, title string, summary string, publisher string, url string, published_at timestamp"
