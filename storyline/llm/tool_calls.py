@@ -73,29 +73,68 @@ def _tool_errors(arguments: Column, schema: Mapping) -> Column:
 def call_levels(calls: DataFrame) -> DataFrame:
     """Rows (conv_id, call_id, level, cyclic): by (level, place), a call comes after all calls in its ``after``.
 
-    A conversation whose log has every call after what it needs keeps its log: its level is ``place``. In the others, a
-    level holds the calls that need nothing of their own or a later level, found in as many rounds as the longest chain;
-    calls on a cycle, or after one, have a null level. Ids that no call of the conversation has are skipped.
+    A conversation whose log has every call after what it needs keeps its log: its level is ``place``. In the others, the
+    level is the length of the longest chain of needs. Calls with one need jump along their chains, twice as far each
+    round, to the nearest call with none or several; only calls with several needs then take turns, in as many rounds as
+    their own longest chain. Calls on a cycle, or after one, have a null level. Ids that no call of the conversation has
+    are skipped.
     """
     ids = calls.groupBy("conv_id", "call_id").agg(F.min("place").alias("place"), F.flatten(F.collect_set("after")).alias("after"))
+    ids = cut_lineage(ids)
     needs = ids.select("conv_id", "call_id", "place", F.explode("after").alias("need"))
     known = ids.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("need_place"))
     edges = cut_lineage(needs.join(known, ["conv_id", "need"]).distinct())
     odd = edges.filter("need_place >= place").select("conv_id").distinct()
     kept = ids.join(odd, "conv_id", "left_anti").select("conv_id", "call_id", F.col("place").cast("long").alias("level"))
-    left = cut_lineage(ids.join(odd, "conv_id", "left_semi").select("conv_id", "call_id"))
-    edges = cut_lineage(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "need"))
-    level = 0
-    while not left.isEmpty():
-        ready = cut_lineage(left.join(edges, ["conv_id", "call_id"], "left_anti"))
+    edges = edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "need")
+    degrees = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("k"), F.max("need").alias("up"))
+    nodes = cut_lineage(
+        ids.join(odd, "conv_id", "left_semi").select("conv_id", "call_id").join(degrees, ["conv_id", "call_id"], "left")
+        .withColumn("k", F.coalesce("k", F.lit(0)))
+    )
+    anchors = _jump(nodes)
+    solved = nodes.filter("k = 0").select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
+    several = nodes.filter("k > 1").select("conv_id", "call_id")
+    waiting = cut_lineage(
+        edges.join(several, ["conv_id", "call_id"], "left_semi").join(
+            anchors.select("conv_id", F.col("call_id").alias("need"), "anchor", "far"), ["conv_id", "need"]
+        )
+    )
+    while not waiting.isEmpty():
+        reached = waiting.join(solved.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"], "left")
+        ready = reached.groupBy("conv_id", "call_id").agg(
+            F.max(F.col("level") + F.col("far") + 1).alias("level"), F.count("level").alias("n"), F.count("*").alias("of")
+        )
+        ready = cut_lineage(ready.filter("n = of").select("conv_id", "call_id", "level"))
         if ready.isEmpty():
-            kept = kept.unionByName(left.withColumn("level", F.lit(None).cast("long")))
             break
-        kept = kept.unionByName(ready.withColumn("level", F.lit(level).cast("long")))
-        left = cut_lineage(left.join(ready, ["conv_id", "call_id"], "left_anti"))
-        edges = cut_lineage(edges.join(ready.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti"))
-        level += 1
-    return kept.withColumn("cyclic", F.col("level").isNull())
+        solved = cut_lineage(solved.unionByName(ready))
+        waiting = cut_lineage(waiting.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
+    levels = anchors.join(solved.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"], "left").select(
+        "conv_id", "call_id", (F.col("level") + F.col("far")).alias("level")
+    )
+    return kept.unionByName(levels).withColumn("cyclic", F.col("level").isNull())
+
+
+def _jump(nodes: DataFrame) -> DataFrame:
+    """Rows (conv_id, call_id, anchor, far): the nearest call up the chain that has not exactly one need, and its distance.
+
+    ``nodes`` has the number of needs k and, for k = 1, the need ``up``. The anchor of a cycle is null.
+    """
+    ends = nodes.filter("k <> 1").select("conv_id", "call_id", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("far"))
+    done, open_ = ends, nodes.filter("k = 1").select("conv_id", "call_id", "up", F.lit(1).cast("long").alias("far"))
+    left = None
+    while (n := open_.count()) and n != left:
+        left = n
+        settled = done.select("conv_id", F.col("call_id").alias("up"), "anchor", F.col("far").alias("rest"))
+        further = open_.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("rest"))
+        near = cut_lineage(open_.join(settled, ["conv_id", "up"]).select("conv_id", "call_id", "anchor", (F.col("far") + F.col("rest")).alias("far")))
+        open_ = cut_lineage(
+            open_.join(further, ["conv_id", "up"]).select("conv_id", "call_id", F.col("next").alias("up"), (F.col("far") + F.col("rest")).alias("far"))
+        )
+        done = cut_lineage(done.unionByName(near))
+    rest = open_.select("conv_id", "call_id", F.lit(None).cast("string").alias("anchor"), "far")
+    return done.unionByName(rest)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
