@@ -267,3 +267,28 @@ def test_fact_checks(spark):
     links = spark.createDataFrame([(i, "https://a.example/") for i in (1, 2, 3)], "id long, url string")
     out = {r["id"]: r["error"] for r in V.validate_fact_checks(df, links).collect()}
     assert out == {1: None, 2: "unverified source URL", 3: "invalid claims"}
+
+
+def test_feed_shapes(spark):
+    docs = [
+        ("atom", """<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title><entry><title>A</title><id>a1</id>
+          <link rel="self" href="https://x.example/self"/><link rel="alternate" href="https://x.example/a"/>
+          <author><name>Jane</name></author><content type="html">Long text</content><published>2024-01-05T10:00:00Z</published></entry></feed>"""),
+        ("rss", """<rss><channel><title>R</title>
+          <item><title>B</title><link>https://x.example/b</link><dc:creator>Kim</dc:creator><dc:date>2024-01-06T10:00:00Z</dc:date>
+            <content:encoded>Body</content:encoded><media:group><media:content medium="image" url="https://i.example/1.png"/></media:group></item>
+          <item><title>C</title><author>Lee</author><dc:date>2024-01-04T10:00:00Z</dc:date><description>Short</description><content:encoded>Body</content:encoded></item>
+          </channel></rss>"""),
+        ("rdf", """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel><title>D</title></channel>
+          <item rdf:about="https://x.example/d"><title>E</title><link>https://x.example/d</link></item></rdf:RDF>"""),
+        ("bad", "<rss><channel><item>"), ("text", "no markup"), ("none", "<rss><channel><title>t</title></channel></rss>"),
+    ]
+    df = spark.createDataFrame(docs, "document_id string, xml string")
+    got = {r["title"]: r for r in rss.parse_feeds(df).collect()}
+    assert set(got) == {"A", "B", "C", "E"}
+    a, b, c, e = (got[k] for k in "ABCE")
+    assert (a["author"], a["url"], a["summary"], a["external_id"]) == ("Jane", "https://x.example/a", "Long text", "a1")
+    assert (b["author"], b["summary"], b["image_url"], b["position"]) == ("Kim", "Body", "https://i.example/1.png", 2)
+    assert (c["author"], c["summary"], c["position"]) == ("Lee", "Short", 1)
+    assert b["published_at"] == dt.datetime(2024, 1, 6, 10) and (e["external_id"], e["author"]) == ("https://x.example/d", "D")
+    assert {r["document_id"] for r in rss.rejected_feeds(df).collect()} == {"bad", "text"}
