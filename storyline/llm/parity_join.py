@@ -11,7 +11,6 @@ sizes, in the parts that come first when parts with rare shingles come first, an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,13 @@ from storyline.session import cut_lineage
 #: Sizes of a band span a factor of 2^3; a band's sketch has as many parts as its largest text has shingles.
 BAND_BITS = 3
 #: Counters of shingle frequency. They order the parts, so they touch the speed and never the result.
-COUNTER_BITS = 22
+COUNTER_BITS = 24
 HEAVY = 1 << 17
-#: Members that all later members of a bucket meet; a bucket of more is finished by ``_across``.
-FIRST = 4
+#: Members up to which all pairs of a bucket meet. In a larger one all meet the first ``FIRST``, which are the same in most
+#: buckets of a group, and ``_across`` does the rest.
+SMALL, FIRST = 16, 2
+#: Shingles (8 bytes each) of a block of texts that meet in one piece.
+BLOCK_SHINGLES = 500_000
 #: Ids up to which the texts to verify are picked by a broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 ROWS = 1000
@@ -50,7 +52,8 @@ def heavy_shingles(docs: DataFrame, text: str = "text", n: int = words.SHINGLE)
         for batch in _pieces(batches):
             hashes, of = words.tokens(batch.column(0))
             grams = words.runs(hashes, n)
-            seen += np.bincount(grams & np.uint64(size - 1), minlength=size).astype(np.int32) if len(grams) else 0
+            at, many = np.unique((grams & np.uint64(size - 1)).astype(np.uint32), return_counts=True)
+            seen[at] += many.astype(np.int32)
             total += len(grams)
         at = np.flatnonzero(seen >= 3 + 4 * total // size)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at].astype(np.int64))], ["c", "n"])
@@ -107,7 +110,7 @@ def _bucket_rows(classes, percent: int, n: int):
                     mine = sketch_keys(s, classes, percent)
                 own = words.mix(np.array([own]))
                 keys += [own, mine]
-                ties += [np.zeros(1, np.int32), (words.mix(own ^ mine) >> np.uint64(33)).astype(np.int32)]
+                ties += [np.zeros(1, np.int32), np.full(len(mine), int(own[0]) >> 33, np.int32)]
                 sizes += [np.array([-len(s)], np.int32), np.full(len(mine), len(s), np.int32)]
                 docs.append(np.full(1 + len(mine), doc, np.int64))
             if keys:
@@ -162,7 +165,7 @@ class _Buckets:
         first = np.repeat(starts, sizes)
         place = np.arange(len(rows)) - first
         done = np.arange(len(rows)) < seen
-        big = np.repeat(sizes > FIRST + 1, sizes)
+        big = np.repeat(sizes > SMALL, sizes)
         if seen:
             big |= first == 0
         sets = rows[:, 2] < 1
@@ -171,8 +174,9 @@ class _Buckets:
         at = np.flatnonzero(big & ~sets & (place > 0) & ~done)
         yield 1, rows[at, 0], rows[first[at], 3], rows[at, 3], rows[at, 2]
         pairs = []
-        for k in range(FIRST):
-            at = np.flatnonzero(~sets & (place > k) & ~done)
+        shared = np.flatnonzero(~sets & (place > 0) & ~done)
+        for k in range(SMALL - 1):
+            at = shared[(place[shared] > k) & (~big[shared] | (k < FIRST))]
             to = first[at] + k
             x, y = rows[at, 2], rows[to, 2]
             ok = np.minimum(x, y) * 100 >= np.maximum(x, y) * self.percent
@@ -204,6 +208,52 @@ def _meetings(percent: int):
     return run
 
 
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles per bit, 2 to 4 bits a shingle; a sketch of twice the bits folds into this one."""
+    size = 1 << max(6, (2 * len(shingles)).bit_length())
+    odd = np.bincount((shingles >> np.uint64(8)) & np.uint64(size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little")
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def _sketches(n: int):
+    """Texts (doc, text) → (doc, n, bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            sets = list(words.shingle_sets(batch.column(1), n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([bit_sketch(s).tobytes() for s in sets], pa.binary())],
+                ["doc", "n", "bits"],
+            )
+
+    return run
+
+
+def _close(percent: int):
+    """Pairs (a, b, n_a, n_b, bits_a, bits_b) whose sketches are not farther apart than similar sets can be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            keep = []
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            for i, ((m, k), x, y) in enumerate(zip(sizes, batch.column(4), batch.column(5))):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                if apart <= (m + k) * (100 - percent) // (100 + percent):
+                    keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _verified(percent: int, n: int):
     """Pairs (a, b, text_a, text_b) whose shingle sets are similar."""
 
@@ -219,37 +269,161 @@ def _verified(percent: int, n: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; ``texts`` has doc and text."""
-    pairs = cut_lineage(pairs)
+def _of_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that the pairs name: few ids are broadcast, many are joined by a shuffle."""
     ids = cut_lineage(pairs.select(F.col("a").alias("doc")).unionAll(pairs.select("b")).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    picked = texts.filter("doc is not null").join(ids, "doc", "left_semi")
-    both = pairs.join(picked.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
+    return texts.filter("doc is not null").join(ids, "doc", "left_semi")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; ``texts`` has doc and text.
+
+    Bit sketches, an eighth of the texts, first drop pairs by the Hamming distance; only the rest's texts are moved.
+    """
+    pairs = cut_lineage(pairs)
+    bits = _of_pairs(pairs, texts).mapInArrow(_sketches(n), "doc long, n long, bits binary")
+    bits = cut_lineage(bits)
+    left = bits.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    right = bits.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y")
+    close = cut_lineage(both.mapInArrow(_close(percent), "a long, b long"))
+    picked = _of_pairs(close, texts)
+    both = close.join(picked.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(picked.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return cut_lineage(both.mapInArrow(_verified(percent, n), "a long, b long").distinct())
 
 
-def _across(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large buckets' members that are in different components so far: all that can still link two of them.
+def _sets(n: int):
+    """Texts (doc, text) → (doc, n, shingles), the sorted set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, 200):
+            sets = list(words.shingle_sets(batch.column(1), n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc", "n", "shingles"],
+            )
+
+    return run
+
+
+def _bridges(percent: int):
+    """A block of outsiders and one of members (doc, label, shingles) → pairs (a, b) of similar ones that join components.
 
-    In each bucket, at least one side of such a pair is outside the component that most members belong to.
+    An inverted index of the members' shingles counts an outsider's intersections with all of them at once. Labels joined
+    on the way are one from then on, so no more pairs come out than there are labels.
     """
-    crowd = stars.groupBy("key").agg(F.count("*").alias("k"), F.max("a").alias("doc"))
-    members = stars.select("key", F.col("b").alias("doc"), "n").unionAll(crowd.select("key", "doc", F.lit(None).cast("long").alias("n")))
-    members = cut_lineage(
-        members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    )
-    split = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    still = members.join(split, "key", "left_semi")
-    bulk = still.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("bulk"))
-    apart = still.join(bulk, "key").filter("label <> bulk")
-    pairs = apart.select("key", F.col("doc").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np")).join(
-        still.select("key", F.col("doc").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq")), "key"
+
+    def run(outsiders: pa.Table, members: pa.Table) -> pa.Table:
+        found = []
+        if len(outsiders) and len(members):
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.column("shingles")]
+            size = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), size)
+            shingles = np.concatenate(sets)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            docs = members.column("doc").to_numpy()
+            mine = outsiders.column("label").to_numpy()
+            names, at = np.unique(np.concatenate([members.column("label").to_numpy(), mine]), return_inverse=True)
+            root, label, own = np.arange(len(names)), at[: len(docs)], at[len(docs):]
+            for k, (doc, x) in enumerate(zip(outsiders.column("doc").to_pylist(), outsiders.column("shingles"))):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                low, high = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+                many = high - low
+                inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                same = np.bincount(owner[np.repeat(low, many) + inside], minlength=len(sets))
+                near = (same * 100 >= percent * (size + len(x) - same)) & (same > 0) & (root[label] != root[own[k]])
+                near = np.flatnonzero(near)
+                roots, first = np.unique(root[label[near]], return_index=True)
+                found += [(doc, int(d)) for d in docs[near[first]]]
+                if len(roots):
+                    root[np.isin(root, roots)] = root[own[k]]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _neighbours(percent: int):
+    """A block of outsiders and one of members (crowd, doc, label, n, bits) → (crowd, doc) of those that are close to some
+    one of another component, by the Hamming distance of their bit sketches."""
+
+    def run(outsiders: pa.Table, members: pa.Table) -> pa.Table:
+        found: set[int] = set()
+        if len(outsiders) and len(members):
+            docs, labels, sizes = (members.column(c).to_numpy() for c in ("doc", "label", "n"))
+            raw = [np.frombuffer(x.as_py(), np.uint8) for x in members.column("bits")]
+            width = np.array([len(x) for x in raw])
+            classes = {}
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                classes[w] = at, np.stack([raw[i] for i in at])
+            folded = {w: np.bitwise_xor(m[:, : w // 2], m[:, w // 2:]) for w, (_, m) in classes.items() if w > 8}
+            rows = zip(*(outsiders.column(c).to_pylist() for c in ("doc", "label", "n", "bits")))
+            for doc, label, n, bits in rows:
+                x = np.frombuffer(bits, np.uint8)
+                for w in (len(x) // 2, len(x), 2 * len(x)):
+                    if w not in classes:
+                        continue
+                    at, m = classes[w]
+                    m = folded[w] if w > len(x) else m
+                    apart = np.bitwise_count(m ^ _fold(x, m.shape[1])).sum(axis=1, dtype=np.int64)
+                    near = (apart <= (sizes[at] + n) * (100 - percent) // (100 + percent)) & (labels[at] != label)
+                    near &= np.minimum(sizes[at], n) * 100 >= np.maximum(sizes[at], n) * percent
+                    if near.any():
+                        found.add(doc)
+                        found.update(docs[at[near]].tolist())
+        crowd = members.column("crowd")[0].as_py() if len(members) else None
+        return pa.table({"crowd": pa.array([crowd] * len(found), pa.int64()), "doc": pa.array(sorted(found), pa.int64())})
+
+    return run
+
+
+def _by_blocks(people: DataFrame, payload: str, shingles: int, meet, schema: str) -> DataFrame:
+    """Each crowd's outsiders (``out``) meet all its members, in blocks of about ``shingles`` shingles or one text."""
+    blocks = people.groupBy("crowd").agg(
+        F.ceil(F.sum("n") / shingles).cast("int").alias("rows"),
+        F.ceil(F.sum(F.when(F.col("out"), F.col("n"))) / shingles).cast("int").alias("outs"),
     )
-    near = F.expr(f"np is null or nq is null or least(np, nq) * 100 >= greatest(np, nq) * {percent}")
-    return pairs.filter(near & (F.col("lp") != F.col("lq"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    placed = people.join(blocks.filter("outs > 0"), "crowd")
+    mine = F.pmod(F.xxhash64("doc"), F.col("rows")).cast("int")
+    all_ = placed.withColumn("row", mine).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
+    mine = F.pmod(F.xxhash64("doc"), F.col("outs")).cast("int")
+    outs = placed.filter("out").withColumn("part", mine).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    keys = ["crowd", "part", "row"]
+    columns = [*keys, "doc", "label", "n", payload]
+    left, right = (df.select(*[F.col(c).alias(c) for c in columns]).groupBy(*keys) for df in (outs, all_))
+    return left.cogroup(right).applyInArrow(meet, schema)
+
+
+def _across(stars: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs of large buckets' members that still join two components; with them, the components are those of all pairs.
+
+    Buckets whose members are in one component are done. Others with the same smallest member are one crowd, as buckets of
+    a group of near copies hold nearly the same texts. In a crowd, at least one side of a link between components is
+    outside the component of most members, so blocks of such outsiders meet blocks of all members, however large a crowd
+    is: first by bit sketches, then those that are close to another component by their shingles.
+    """
+    firsts = stars.groupBy("key").agg(F.min("a").alias("doc"))
+    members = stars.select("key", F.col("b").alias("doc")).unionAll(firsts.select("key", "doc"))
+    members = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    members = cut_lineage(members.select("key", "doc", F.coalesce("label", "doc").alias("label")))
+    split = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("doc").alias("hub"))
+    still = members.join(split.filter("x <> y").select("key", "hub"), "key")
+    inside = cut_lineage(still.select("doc", "label", F.col("hub").alias("crowd")).distinct())
+    bulk = inside.groupBy("crowd", "label").count().groupBy("crowd").agg(F.max_by("label", F.struct("count", "label")).alias("bulk"))
+    inside = inside.join(bulk, "crowd").withColumn("out", F.col("label") != F.col("bulk"))
+    picked = _of_pairs(inside.select(F.col("doc").alias("a"), F.col("doc").alias("b")), texts)
+    bits = cut_lineage(picked.mapInArrow(_sketches(n), "doc long, n long, bits binary"))
+    close = _by_blocks(inside.join(bits, "doc"), "bits", 16 * BLOCK_SHINGLES, _neighbours(percent), "crowd long, doc long")
+    close = cut_lineage(close.distinct())
+    picked = _of_pairs(close.select(F.col("doc").alias("a"), F.col("doc").alias("b")), texts)
+    sets = picked.mapInArrow(_sets(n), "doc long, n long, shingles binary")
+    people = inside.join(close, ["crowd", "doc"]).join(sets, "doc")
+    return _by_blocks(people, "shingles", BLOCK_SHINGLES, _bridges(percent), "a long, b long")
 
 
 def near_duplicates(
@@ -263,8 +437,8 @@ def near_duplicates(
     only shingle; a row without id has no component and links nothing. Repeated rows link like any equal texts. An empty
     table gives no rows.
 
-    Members of a bucket meet its first ``FIRST`` members, in an order that differs from bucket to bucket; in a larger
-    bucket only those that are then still in different components meet, so near copies are not all compared, yet the
+    Members of a bucket meet its first ``FIRST`` members; of larger buckets, only members that are then still in different
+    components meet, in blocks that put out no more pairs than components. So near copies are not all paired, yet the
     components are those of all pairs. Equal sets are one member.
     """
     texts = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
@@ -284,11 +458,9 @@ def near_duplicates(
     labels = cut_lineage(components(links))
     stars = met.filter("kind = 1")
     if not stars.isEmpty():
-        rest = cut_lineage(_across(stars, labels, percent))
+        rest = cut_lineage(_across(stars, labels, texts, percent, n))
         if not rest.isEmpty():
-            more = verify(rest, texts, percent, n)
-            again = reduce(DataFrame.unionAll, [labels.select(F.col("id").alias("a"), F.col("label").alias("b")), more])
-            labels = cut_lineage(components(again))
+            labels = cut_lineage(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionAll(rest)))
     equal = met.filter("kind = 0").select(F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("a").alias("class_id"))
     found = equal.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id")

@@ -110,7 +110,7 @@ def test_buckets_of_any_size_meet_over_any_batches():
             assert {y for _, y in sets} == set(rows[rows[:, 2] < 0][:, 3].tolist())
             assert all(x == y - y % 1000 for x, y in sets)
             outs.append({k for k, _, _ in stars})
-        crowded = {k for k in range(30) if len(set(rows[(rows[:, 0] == k)][:, 1].tolist())) > parity_join.FIRST + 1}
+        crowded = {k for k in range(30) if len(set(rows[(rows[:, 0] == k)][:, 1].tolist())) > parity_join.SMALL}
         assert crowded <= outs[0] and crowded <= outs[2]
     finally:
         parity_join._CARRY = before
