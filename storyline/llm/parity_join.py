@@ -277,24 +277,44 @@ def _of_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.filter("doc is not null").join(ids, "doc", "left_semi")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; ``texts`` has doc and text.
-
-    Bit sketches, an eighth of the texts, first drop pairs by the Hamming distance; only the rest's texts are moved.
-    """
+def close_pairs(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """The pairs (a, b) whose bit sketches, an eighth of the texts, are no farther apart than those of similar texts."""
     pairs = cut_lineage(pairs)
-    bits = _of_pairs(pairs, texts).mapInArrow(_sketches(n), "doc long, n long, bits binary")
-    bits = cut_lineage(bits)
+    bits = cut_lineage(_of_pairs(pairs, texts).mapInArrow(_sketches(n), "doc long, n long, bits binary"))
     left = bits.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
     right = bits.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y")
-    close = cut_lineage(both.mapInArrow(_close(percent), "a long, b long"))
-    picked = _of_pairs(close, texts)
-    both = close.join(picked.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
+    return cut_lineage(both.mapInArrow(_close(percent), "a long, b long"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; ``texts`` has doc and text."""
+    pairs = cut_lineage(pairs)
+    picked = _of_pairs(pairs, texts)
+    both = pairs.join(picked.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(picked.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return cut_lineage(both.mapInArrow(_verified(percent, n), "a long, b long").distinct())
 
 
+def linked(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Components (id, label) of the similar ones among ``pairs``, those of verifying all of them.
+
+    Of the close pairs, each text's first is verified; of the others only those that would still join two components.
+    """
+    close = close_pairs(pairs, texts, percent, n)
+    labels = cut_lineage(components(verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, percent, n)))
+
+    def named(end):
+        return labels.select(F.col("id").alias(end), F.col("label").alias(f"l{end}"))
+
+    apart = close.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    apart = apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    more = verify(apart, texts, percent, n)
+    if more.isEmpty():
+        return labels
+    return cut_lineage(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionAll(more)))
+
+
 def _sets(n: int):
     """Texts (doc, text) → (doc, n, shingles), the sorted set as bytes."""
 
@@ -454,8 +474,7 @@ def near_duplicates(
         .mapInArrow(_meetings(percent), "kind byte, key long, a long, b long, n long")
     )
     pairs = met.filter("kind = 2").select("a", "b").distinct()
-    links = verify(pairs, texts, percent, n)
-    labels = cut_lineage(components(links))
+    labels = linked(pairs, texts, percent, n)
     stars = met.filter("kind = 1")
     if not stars.isEmpty():
         rest = cut_lineage(_across(stars, labels, texts, percent, n))
