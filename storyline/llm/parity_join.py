@@ -24,7 +24,7 @@ from storyline.session import cut_lineage
 #: Sizes of a band span a factor of 2^3; a band's sketch has as many parts as its largest text has shingles.
 BAND_BITS = 3
 #: Counters of shingle frequency. They order the parts, so they touch the speed and never the result.
-COUNTER_BITS = 24
+COUNTER_BITS = 23
 HEAVY = 1 << 17
 #: Members up to which all pairs of a bucket meet. In a larger one all meet the first ``FIRST``, which are the same in most
 #: buckets of a group, and ``_across`` does the rest.
@@ -33,7 +33,7 @@ SMALL, FIRST = 16, 2
 BLOCK_SHINGLES = 500_000
 #: Ids up to which the texts to verify are picked by a broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
-ROWS = 1000
+ROWS = 400
 _CARRY = 4096
 
 
