@@ -26,8 +26,11 @@ from storyline.session import cut_lineage
 DEPTH = 5
 LETTERS = 64
 END, SPACE, OTHER = 0, 1, 63
-#: States with the most divergence are kept up to this number, which bounds what is broadcast (about 300 bytes each).
-STATES = 100_000
+#: States that are broadcast at a time (512 bytes each); a larger tree is split by the two nearest symbols of its contexts
+#: and scores in several passes. The contexts that end in two given symbols are 266,305 at most, so every part fits.
+STATES = 300_000
+#: States up to which they are broadcast to pick their counts (16 bytes each); more are joined by a shuffle.
+BROADCAST_STATES = 1_000_000
 #: Words with the most occurrences, whose counts are broadcast (16 bytes each); all others' counts are joined.
 FREQUENT = 1 << 18
 #: Distinct keys that a task counts before it hands them on.
@@ -160,8 +163,8 @@ def _corpus_counts(alphabet: Alphabet):
     return run
 
 
-def select_states(grams: DataFrame, states: int) -> DataFrame:
-    """Rows (depth, context, symbol, n) of the root and of the contexts that are states.
+def select_states(grams: DataFrame) -> DataFrame:
+    """Rows (depth, context, symbol, n) of the root and of all contexts that are states.
 
     ``grams``: (context of ``DEPTH`` symbols, symbol, n). A context with k next symbols is a state when its counts,
     coded by its own shares rather than by its suffix's, save more than k bits.
@@ -189,59 +192,126 @@ def select_states(grams: DataFrame, states: int) -> DataFrame:
             .select(F.lit(d).alias("depth"), "context", (saved - F.col("k")).alias("gain"))
             .filter("gain > 0")
         )
-    best = cut_lineage(reduce(DataFrame.unionAll, gains).orderBy(F.desc("gain"), "depth", "context").limit(states))
+    best = cut_lineage(reduce(DataFrame.unionAll, gains).select("depth", "context"))
+    sized = F.broadcast if best.count() <= BROADCAST_STATES else (lambda c: c)
     chosen = [grams.select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("context")).limit(1)]
     for d in range(1, DEPTH + 1):
         cut = F.col("context").bitwiseAND(F.lit((1 << (6 * d)) - 1)).alias("context")
         chosen.append(best.filter(F.col("depth") >= d).select(F.lit(d).alias("depth"), cut).distinct())
     return reduce(DataFrame.unionAll, [
-        F.broadcast(c).join(level, "context").select("depth", "context", "symbol", "n") for c, level in zip(chosen, levels)
+        sized(c).join(level, "context").select("depth", "context", "symbol", "n") for c, level in zip(chosen, levels)
     ])
 
 
+def _parts(chosen: DataFrame, states: int) -> list[tuple[DataFrame, np.ndarray | None]]:
+    """The rows of ``select_states`` in parts of up to ``states`` states: all of them, or by the two nearest symbols."""
+    pair = F.col("context").bitwiseAND(F.lit((1 << 12) - 1))
+    deep = chosen.filter("depth > 1").select("depth", "context").distinct().groupBy(pair.alias("pair")).count()
+    sizes = [(r["pair"], r["count"]) for r in deep.orderBy("pair").collect()]
+    if sum(k for _, k in sizes) + LETTERS + 1 <= states:
+        return [(chosen, None)]
+    parts, room = [], 0
+    for p, k in sizes:
+        if k > room:
+            parts.append([])
+            room = states - LETTERS - 1
+        parts[-1].append(p)
+        room -= k
+    out = []
+    for i, some in enumerate(parts):
+        mask = np.zeros(1 << 12, bool) if i else np.ones(1 << 12, bool)  # pairs without states go with the first part
+        mask[[p for other in parts[1:] for p in other]] = False
+        mask[some] = True
+        out.append((chosen.filter((F.col("depth") < 2) | pair.isin(some)), mask))
+    return out
+
+
 @dataclass
 class Tree:
-    """States as arrays: ``child[i, s]`` is the state that extends state i's context by the earlier symbol s, or -1."""
+    """States as arrays: ``child[i, s]`` is the state that extends state i's context by the earlier symbol s, or -1.
+
+    ``pairs``: the two nearest symbols of the histories that this part of a tree scores; others are scored 0. None: all.
+    """
 
     alphabet: Alphabet
     child: np.ndarray
     log10: np.ndarray
+    pairs: np.ndarray | None = None
 
     @classmethod
-    def build(cls, alphabet: Alphabet, depth, context, symbol, n) -> Tree:
+    def build(cls, alphabet: Alphabet, depth, context, symbol, n, pairs=None) -> Tree:
         key = (depth.astype(np.int64) << 58) | context
         states = np.unique(np.append(key, 0))
-        counts = np.zeros((len(states), LETTERS))
-        np.add.at(counts, (np.searchsorted(states, key), symbol), n)
+        share = np.zeros((len(states), LETTERS), np.float32)  # counts, then shares, then their logarithms, all in place
+        np.add.at(share, (np.searchsorted(states, key), symbol), n)
         level, code = states >> 58, states & ((1 << 58) - 1)
-        child = np.full((len(states), LETTERS), -1, np.int32)
-        share = np.zeros((len(states), LETTERS))
-        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        share[0] = (counts[0] + 1.0 / LETTERS) / (total[0] + 1.0)
+        child = np.full((max(1, int((level < DEPTH).sum())), LETTERS), -1, np.int32)  # the deepest have none
+        share[0] = (share[0] + 1.0 / LETTERS) / (share[0].sum(dtype=np.float64) + 1.0)
         for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(level == d)
-            up = np.searchsorted(states, ((d - 1) << 58) | (code[at] & ((1 << (6 * (d - 1))) - 1)))
-            child[up, code[at] >> (6 * (d - 1))] = at
-            share[at] = (counts[at] + kinds[at] * share[up]) / (total[at] + kinds[at])
-        logs = np.log10(share)
-        logs[:, OTHER] += alphabet.spread
-        return cls(alphabet, child, logs.astype(np.float32))
+            every = np.flatnonzero(level == d)
+            for at in (every[i:i + 4096] for i in range(0, len(every), 4096)):
+                up = np.searchsorted(states, ((d - 1) << 58) | (code[at] & ((1 << (6 * (d - 1))) - 1)))
+                child[up, code[at] >> (6 * (d - 1))] = at
+                counts = share[at].astype(np.float64)
+                total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+                share[at] = (counts + kinds * share[up]) / (total + kinds)
+        np.log10(share, out=share)
+        share[:, OTHER] += alphabet.spread
+        return cls(alphabet, child, share, pairs)
 
     def symbol_scores(self, symbols: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol given the longest suffix of its history that is a state."""
         state = np.zeros(len(symbols), np.int32)
-        on = np.arange(len(symbols))
+        mine = None if self.pairs is None else self.pairs[contexts(symbols, 2)]
+        on = np.arange(len(symbols)) if mine is None else np.flatnonzero(mine)
         for k in range(1, DEPTH + 1):
             on = on[on >= k]
             deeper = self.child[state[on], symbols[on - k]]
             keep = deeper >= 0
             on, deeper = on[keep], deeper[keep]
             state[on] = deeper
-        return self.log10[state, symbols]
+        values = self.log10[state, symbols]
+        return values if mine is None else np.where(mine, values, np.float32(0))
+
+
+def _spellings(tree: Tree, raw, first, past, of) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each word, and of each text's end, as far as the tree scores their symbols."""
+    symbols, start, at = streams(raw, first, past, of, tree.alphabet)
+    values = tree.symbol_scores(symbols)
+    spelled = np.add.reduceat(values, np.stack([at, at + past - first + 1], axis=1).ravel(), dtype=np.float64)[::2] if len(at) else at.astype(float)
+    return spelled, values[start[1:] - 1].astype(np.float64)
+
+
+def _earlier(column: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What earlier parts gave each word and each text's end, from lists of a text's words and then its end."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = of[1:] + np.arange(len(of) - 1)
+    return np.delete(flat, ends), flat[ends]
+
+
+def _partly_spelled(tree: Tree):
+    """Rows (doc, text[, spelled]) → (doc, text, spelled): with the scores of a part of the tree added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            raw, at = words.utf8(piece.column(1))
+            first, past, of = words.word_bounds(raw, at)
+            spelled, ends = _spellings(tree, raw, first, past, of)
+            if piece.num_columns > 2:
+                more, last = _earlier(piece.column(2), of)
+                spelled, ends = spelled + more, ends + last
+            lists = of + np.arange(len(of))
+            flat = pa.array(np.insert(spelled, of[1:], ends))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), piece.column(1), pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), flat)],
+                ["doc_id", "text", "spelled"],
+            )
+
+    return run
 
 
 def _scores(tree: Tree, common: np.ndarray, counts: np.ndarray, texts: int, total: int, kinds: int):
-    """Rows (doc, text) → (row, doc, n_tokens, known, base, score, rare, spelled): rare words are still to be counted."""
+    """Rows (doc, text[, spelled]) → (row, doc, n_tokens, known, base, score, rare, spelled): rare words are still to be counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -255,10 +325,10 @@ def _scores(tree: Tree, common: np.ndarray, counts: np.ndarray, texts: int, tota
             logs = np.where(found, np.log10(counts[place] + 1.0) - floor, 0.0) if len(common) else np.zeros(len(hashes))
             end = np.log10(texts + 1.0) - floor
             known = _sums(of, found).astype(np.int64) + (texts > 0)
-            symbols, start, at = streams(raw, first, past, of, tree.alphabet)
-            values = tree.symbol_scores(symbols)
-            spelled = np.add.reduceat(values, np.stack([at, at + past - first + 1], axis=1).ravel(), dtype=np.float64)[::2] if len(at) else at.astype(float)
-            ends = values[start[1:] - 1].astype(np.float64)
+            spelled, ends = _spellings(tree, raw, first, past, of)
+            if piece.num_columns > 2:
+                more, last = _earlier(piece.column(2), of)
+                spelled, ends = spelled + more, ends + last
             rare = np.flatnonzero(~found)
             offsets = np.searchsorted(rare, of)
             yield pa.RecordBatch.from_arrays(
@@ -299,7 +369,7 @@ def score_texts(
 
     ``held_out`` is a condition on the id column; rows for which it is not true are learnt from, all of them. ``score`` is
     the log10 probability of the text, ``base_score`` that of word counts plus one, ``n_known`` the tokens that
-    occur in training. A null or empty text is one end. Null ids and repeated rows are rows of their own; other columns
+    occur in training. ``states`` are held at a time; it bounds memory and leaves the scores as they are. A null or empty text is one end. Null ids and repeated rows are rows of their own; other columns
     are ignored. Without training texts all scores are those of uniform distributions; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -324,9 +394,22 @@ def score_texts(
         F.col("key").bitwiseAND(F.lit((1 << (6 * DEPTH)) - 1)).alias("context"),
         F.shiftright("key", 6 * DEPTH).cast("int").alias("symbol"), "n",
     )
-    chosen = select_states(grams, states).toArrow()
-    tree = Tree.build(alphabet, *(chosen.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "n")))
-    model = spark.sparkContext.broadcast((tree, common, common_n))
+    *parts, last = _parts(cut_lineage(select_states(grams)), states)
+
+    def grown(part, pairs):
+        rows = part.toArrow()
+        return Tree.build(alphabet, *(rows.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "n")), pairs)
+
+    for part in parts:
+        some = spark.sparkContext.broadcast(grown(*part))
+
+        def spell(batches, some=some):
+            yield from _partly_spelled(some.value)(batches)
+
+        kind = texts.schema["doc_id"].dataType.simpleString()
+        texts = cut_lineage(texts.mapInArrow(spell, f"doc_id {kind}, text string, spelled array<double>"))
+        some.unpersist()
+    model = spark.sparkContext.broadcast((grown(*last), common, common_n))
 
     def run(batches):
         yield from _scores(*model.value, trained, total, kinds)(batches)

@@ -310,6 +310,17 @@ def test_language_model_counts_and_scores(spark, odd, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in untaught)
 
 
+def test_language_model_in_parts_equals_one(spark, odd):
+    """States held at a time bound memory alone: no context that diverges is lost."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text").unionByName(odd.filter("doc_id <> 8").select("doc_id", "text"))
+    whole = suffix_tree.score_texts(docs).orderBy("doc_id", "score").collect()
+    parts = suffix_tree.score_texts(docs, states=12_000).orderBy("doc_id", "score").collect()
+    assert len(whole) == len(parts)
+    for a, b in zip(whole, parts):
+        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
+        assert (a.base_score, a.score) == (pytest.approx(b.base_score), pytest.approx(b.score, rel=1e-9))
+
+
 def test_suffix_tree_walks_to_the_longest_state():
     alphabet = suffix_tree.Alphabet.of(np.bincount(np.frombuffer(b"abcabcabdabcde", np.uint8), minlength=256))
     raw, at = W.utf8(pa.array(["abc abd", None, "abcabcab"]))
