@@ -4,7 +4,7 @@ A window of as many words as an item is fingerprinted by the signs of its weight
 fingerprints within ``RADIUS`` bits agree in one of 8 blocks of 8 bits up to ``RADIUS // 8`` bits, so an index of each
 block's values and their neighbours finds all of them. What it finds is verified by the exact similarity of the weighted
 shingles. A window that holds no shingle of an item has similarity 0 to it, so only windows around shared shingles are
-fingerprinted; that skips nothing.
+fingerprinted; that skips nothing. A document of fewer words than the item is one window as a whole.
 """
 
 from __future__ import annotations
@@ -111,17 +111,18 @@ class Index:
         for m, shingles in self.by_size.items():
             k = min(self.n, m)
             own = grams if k == self.n else self.grams(hashes, k)
-            if len(hashes) < m or not len(own):
+            if not len(own):
                 continue
             at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
             hits = np.flatnonzero(shingles[at] == own)
             if not len(hits):
                 continue
-            width = m - k + 1
+            long = min(m, len(hashes))  # a shorter document is the one window
+            width = long - k + 1
             covers = np.zeros(len(own) + 1, np.int64)
             np.add.at(covers, np.maximum(hits - width + 1, 0), 1)
             np.add.at(covers, hits + 1, -1)
-            starts = np.flatnonzero(np.cumsum(covers)[: len(hashes) - m + 1] > 0)
+            starts = np.flatnonzero(np.cumsum(covers)[: len(hashes) - long + 1] > 0)
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
                 if not len(run):
                     continue
@@ -142,7 +143,7 @@ class Index:
                     s = int(run[w])
                     like = self.similarity(own[s:s + width], i)
                     if like >= threshold and (i not in best or (like, -s) > (best[i][4], -best[i][1])):
-                        best[i] = (i, s, m, d, like)
+                        best[i] = (i, s, long, d, like)
         return [best[i] for i in sorted(best)]
 
 
@@ -185,8 +186,8 @@ def benchmark_hits(
 ) -> DataFrame:
     """Rows (doc_id, item_id, first_word, n_words, bits, similarity): each item's best window in each document that has one.
 
-    Items of fewer than ``n`` words have their whole sequence as one shingle; items without words, and null or empty texts,
-    match nothing. Items with the same text match apiece; repeated documents give repeated rows; other columns are
+    A window has the item's number of words, or all words of a document that has fewer. Items of fewer
+    than ``n`` words have their whole sequence as one shingle; items without words, and null or empty texts, match nothing. Items with the same text match apiece; repeated documents give repeated rows; other columns are
     ignored; empty tables give no rows; a null id comes out null.
 
     No shuffle: the items are broadcast, up to ``ITEM_WORDS`` words at a time, whatever their number.

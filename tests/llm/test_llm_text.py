@@ -176,6 +176,17 @@ def test_benchmark_windows_equal_all_windows(spark, odd, none):
     assert decontaminate.benchmark_hits(odd, one.limit(0)).collect() == []
 
 
+def test_benchmark_items_in_shorter_documents(spark):
+    item = [f"w{k}" for k in range(50)]
+    docs = [(1, item[:-1]), (2, item[2:]), (3, item[:20]), (4, item[:3]), (5, item), (6, ["x", *item[:-1]])]
+    hits = decontaminate.benchmark_hits(
+        spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"),
+        spark.createDataFrame([(7, " ".join(item)), (8, "w1 w2")], "item_id long, text string"),
+    ).filter("item_id = 7").collect()
+    assert sorted((r.doc_id, r.first_word, r.n_words, round(r.similarity, 4)) for r in hits) == [
+        (1, 0, 49, round(45 / 46, 4)), (2, 0, 48, round(44 / 46, 4)), (5, 0, 50, 1.0), (6, 0, 50, round(45 / 47, 4))]
+
+
 def crc(i, by):
     return zlib.crc32(str(i).encode()) % by
 
