@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import words
+from storyline.session import cut_lineage
 
 #: At similarity .75 fingerprints differ by 11 bits on average, with a deviation of 3.
 RADIUS = 23
@@ -31,22 +32,59 @@ _NEAR = [np.uint8(sum(1 << b for b in bits)) for bits in (
 )]
 
 
+def _grams(hashes: np.ndarray, k: int, n: int) -> np.ndarray:
+    return words.runs(hashes, k) if k == n else words.mix(words.runs(hashes, k) + np.uint64(k))
+
+
+def item_grams(hashes: np.ndarray, of: np.ndarray, n: int) -> list[np.ndarray]:
+    """The shingles of each item that has words."""
+    return [_grams(hashes[a:b], min(n, b - a), n) for a, b in zip(of[:-1].tolist(), of[1:].tolist()) if b > a]
+
+
+def _common(items: DataFrame, n: int) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """The number of items with words, and the sorted shingles that several of them hold with the numbers of those items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                every = [np.unique(g) for g in item_grams(*words.tokens(batch.column(0).slice(at, 1000)), n)]
+                grams = np.concatenate(every).view(np.int64) if every else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(grams, pa.int64()), pa.nulls(len(every), pa.int64())])], ["gram"]
+                )  # a null for each item
+
+    counts = cut_lineage(items.select("t").mapInArrow(run, "gram long").groupBy("gram").count())
+    total = counts.filter("gram is null").first()
+    several = counts.filter("gram is not null and count > 1").toArrow()
+    grams, many = (several.column(c).to_numpy().astype(np.int64) for c in ("gram", "count"))
+    order = np.argsort(grams.view(np.uint64))
+    return total["count"] if total else 0, (grams.view(np.uint64)[order], many[order])
+
+
 class Index:
-    """Shingles, weights, fingerprints and block tables of a bounded set of items."""
+    """Shingles, weights, fingerprints and block tables of a bounded set of items.
+
+    Weights are those of the whole benchmark: ``total`` items with words, and ``common``, the sorted shingles that several
+    of its items hold with the numbers of those items. Any other shingle, known or not, weighs as one that one item holds.
+    Without them, the items are the whole benchmark.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], n: int = words.SHINGLE):
+    def __init__(self, items: list[tuple[int, str]], n: int = words.SHINGLE, total: int | None = None, common=None):
         self.n = n
         hashes, of = words.tokens(pa.array([t for _, t in items], pa.string()))
         sizes = np.diff(of)
         keep = np.flatnonzero(sizes)
         self.ids = [items[i][0] for i in keep]
         self.sizes = sizes[keep]
-        grams = [self.grams(hashes[of[i]:of[i + 1]], min(n, int(sizes[i]))) for i in keep]
+        grams = item_grams(hashes, of, n)
         every = [np.unique(g) for g in grams]
         flat = np.concatenate(every) if every else np.zeros(0, np.uint64)
         self.known, items_with = np.unique(flat, return_counts=True)
-        self.weight = np.maximum(1, np.round(_WEIGHT * np.log2(1 + len(self.ids) / items_with))).astype(np.int64)
-        self.other = max(1, round(_WEIGHT * np.log2(1 + len(self.ids))))
+        if common is None:
+            total, common = len(self.ids), (self.known[items_with > 1], items_with[items_with > 1])
+        self.common = common[0]
+        self.weight = np.maximum(1, np.round(_WEIGHT * np.log2(1 + total / common[1]))).astype(np.int64)
+        self.other = max(1, round(_WEIGHT * np.log2(1 + total)))
         self.gate = np.zeros(1 << _GATE_BITS, bool)
         self.gate[self.known & np.uint64((1 << _GATE_BITS) - 1)] = True
         self.counted = [dict(zip(*(x.tolist() for x in np.unique(g, return_counts=True)))) for g in grams]
@@ -60,7 +98,7 @@ class Index:
 
     def grams(self, hashes: np.ndarray, k: int) -> np.ndarray:
         """Runs of ``k`` words; runs shorter than a shingle stand for whole items of that length and hash apart."""
-        return words.runs(hashes, k) if k == self.n else words.mix(words.runs(hashes, k) + np.uint64(k))
+        return _grams(hashes, k, self.n)
 
     def held(self, grams: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item holds: a bitmap passes few others, a search the items' alone."""
@@ -71,10 +109,10 @@ class Index:
         return at[self.known[place] == grams[at]]
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.common):
             return np.full(len(grams), self.other)
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return np.where(self.known[at] == grams, self.weight[at], self.other)
+        at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
+        return np.where(self.common[at] == grams, self.weight[at], self.other)
 
     def fingerprints(self, grams: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
         """Signs of the weighted bit sums of the ``width`` shingles from each start on."""
@@ -190,16 +228,19 @@ def benchmark_hits(
     than ``n`` words have their whole sequence as one shingle; items without words, and null or empty texts, match nothing. Items with the same text match apiece; repeated documents give repeated rows; other columns are
     ignored; empty tables give no rows; a null id comes out null.
 
-    No shuffle: the items are broadcast, up to ``ITEM_WORDS`` words at a time, whatever their number.
+    The documents are not shuffled: the items are broadcast, up to ``ITEM_WORDS`` words at a time. Shingles are weighted by
+    their numbers of items in the whole benchmark, so results do not depend on the passes; for that each pass also holds
+    the shingles that several items share (16 bytes each).
     """
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     letters = items.agg(F.sum(F.length("t"))).first()[0] or 0
     passes = 1 + int(letters) // (2 * ITEM_WORDS)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    whole = _common(items, n) if passes > 1 else (None, None)
     out = []
     for k in range(passes):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).orderBy("i", "t").collect()
-        index = Index([(r.i, r.t) for r in part], n)
+        index = Index([(r.i, r.t) for r in part], n, *whole)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):

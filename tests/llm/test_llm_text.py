@@ -187,6 +187,27 @@ def test_benchmark_items_in_shorter_documents(spark):
         (1, 0, 49, round(45 / 46, 4)), (2, 0, 48, round(44 / 46, 4)), (5, 0, 50, 1.0), (6, 0, 50, round(45 / 47, 4))]
 
 
+def test_benchmark_passes_do_not_touch_results(spark, monkeypatch):
+    rng = random.Random(8)
+    v = [f"v{k}" for k in range(400)]
+    passages = [[rng.choice(v) for _ in range(14)] for _ in range(6)]
+    items = [(k, " ".join([*passages[k % 6], *(rng.choice(v) for _ in range(12))])) for k in range(60)]
+    items += [(90, None), (91, " "), (92, items[0][1]), (93, "v1 v2")]
+    docs = []
+    for d in range(300):
+        w = items[d % 60][1].split()
+        for _ in range(rng.randrange(0, 3)):  # about the threshold, now in what items share and now in what they do not
+            w[rng.randrange(len(w))] = rng.choice(v)
+        docs.append((d, " ".join([rng.choice(v), *w, *rng.choice(passages)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.benchmark_hits(df, table).collect()))
+    letters = sum(len(t or "") for _, t in items)
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", letters // 5)
+    assert 1 + letters // (2 * decontaminate.ITEM_WORDS) == 3
+    assert one and sorted(map(tuple, decontaminate.benchmark_hits(df, table).collect())) == one
+
+
 def crc(i, by):
     return zlib.crc32(str(i).encode()) % by
 
