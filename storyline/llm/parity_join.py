@@ -95,35 +95,55 @@ def sketch_keys(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.n
     return np.concatenate(out)
 
 
+def _set_hashes(n: int):
+    """Texts (doc, text) → (doc, own, n): a 64-bit hash of the shingle set and its size; an empty set hashes its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            own, sizes = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.int32)
+            for i, (doc, s) in enumerate(zip(ids.tolist(), words.shingle_sets(batch.column(1), n))):
+                sizes[i] = len(s)
+                own[i] = np.bitwise_xor.reduce(words.mix(s + np.uint64(1))) ^ s.sum(dtype=np.uint64) if len(s) else doc & (2**64 - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(words.mix(own).view(np.int64)), pa.array(sizes)], ["doc", "own", "n"]
+            )
+
+    return run
+
+
+def equal_sets(texts: DataFrame, n: int) -> DataFrame:
+    """Rows (doc, n, class_id) of the texts (doc, text): the size of its shingle set, and the smallest id with the same set."""
+    hashed = cut_lineage(texts.mapInArrow(_set_hashes(n), "doc long, own long, n int"))
+    first = hashed.groupBy("own", "n").agg(F.min("doc").alias("class_id"))
+    return cut_lineage(hashed.join(first, ["own", "n"]).select("doc", "n", "class_id"))
+
+
 def _bucket_rows(classes, percent: int, n: int):
-    """Rows (key, tie, n, doc): a text's keys, and one row with n < 1 that brings equal sets together."""
+    """Texts (doc, text) → rows (key, n, doc): a text's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, ties, sizes, docs = [], [], [], []
+            keys, sizes, docs = [], [], []
             for doc, s in zip(ids.tolist(), words.shingle_sets(batch.column(1), n)):
-                if not len(s):
-                    own, mine = np.uint64(doc & (2**64 - 1)), np.zeros(0, np.uint64)
-                else:
-                    own = np.bitwise_xor.reduce(words.mix(s + np.uint64(1))) ^ s.sum(dtype=np.uint64)
-                    mine = sketch_keys(s, classes, percent)
-                own = words.mix(np.array([own]))
-                keys += [own, mine]
-                ties += [np.zeros(1, np.int32), np.full(len(mine), int(own[0]) >> 33, np.int32)]
-                sizes += [np.array([-len(s)], np.int32), np.full(len(mine), len(s), np.int32)]
-                docs.append(np.full(1 + len(mine), doc, np.int64))
+                if len(s):
+                    keys.append(sketch_keys(s, classes, percent))
+                    sizes.append(np.full(len(keys[-1]), len(s), np.int32))
+                    docs.append(np.full(len(keys[-1]), doc, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], ties, sizes, docs)],
-                    ["key", "tie", "n", "doc"],
+                    [pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], sizes, docs)], ["key", "n", "doc"]
                 )
 
     return run
 
 
 class _Buckets:
-    """Meets the members of buckets that arrive in order of key and tie, in memory that does not grow with a bucket."""
+    """Meets the members of buckets that arrive in order of key and tie, in memory that does not grow with a bucket.
+
+    Rows of a bucket with the same tie and size are one member; the tie must tell different members apart.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -139,7 +159,7 @@ class _Buckets:
         if not len(rows):
             return
         new = np.concatenate(([True], (rows[1:, 0] != rows[:-1, 0]) | ((rows[1:, 2] > 0) != (rows[:-1, 2] > 0))))
-        fresh = np.concatenate(([True], new[1:] | (rows[1:, 1] != rows[:-1, 1]) | (rows[:-1, 2] < 1)))
+        fresh = np.concatenate(([True], new[1:] | (rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 2] != rows[:-1, 2]) | (rows[:-1, 2] < 1)))
         keep = fresh | (np.arange(len(rows)) < seen)  # of copies, the first alone
         rows, new = rows[keep], new[keep]
         starts = np.flatnonzero(new)
@@ -200,7 +220,8 @@ def _meetings(percent: int):
                     )
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            key, size, doc = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            rows = np.stack([key, doc, size, doc], axis=1)  # each id is a member
             if len(rows):
                 yield from out(rows, False)
         yield from out(np.zeros((0, 4), np.int64), True)
@@ -459,7 +480,7 @@ def near_duplicates(
 
     Members of a bucket meet its first ``FIRST`` members; of larger buckets, only members that are then still in different
     components meet, in blocks that put out no more pairs than components. So near copies are not all paired, yet the
-    components are those of all pairs. Equal sets are one member.
+    components are those of all pairs. Equal sets (64-bit hash and size) are found first, and the smallest id stands for them.
     """
     texts = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     classes = docs.sparkSession.sparkContext.broadcast(heavy_shingles(texts, "text", n))
@@ -467,10 +488,14 @@ def near_duplicates(
     def rows(batches):
         yield from _bucket_rows(classes.value, percent, n)(batches)
 
-    members = texts.filter("doc is not null").mapInArrow(rows, "key long, tie int, n int, doc long")
+    named = texts.filter("doc is not null")
+    equal = equal_sets(named, n)
+    copies = cut_lineage(equal.groupBy("doc").agg(F.bool_and(F.col("doc") != F.col("class_id")).alias("copy")).filter("copy").select("doc"))
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    members = named.join(few, "doc", "left_anti").select("doc", "text").mapInArrow(rows, "key long, n int, doc long")
     met = cut_lineage(
         members.repartition("key")
-        .sortWithinPartitions("key", "tie", "doc")
+        .sortWithinPartitions("key", "doc", "n")
         .mapInArrow(_meetings(percent), "kind byte, key long, a long, b long, n long")
     )
     pairs = met.filter("kind = 2").select("a", "b").distinct()
@@ -480,7 +505,7 @@ def near_duplicates(
         rest = cut_lineage(_across(stars, labels, texts, percent, n))
         if not rest.isEmpty():
             labels = cut_lineage(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionAll(rest)))
-    equal = met.filter("kind = 0").select(F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("a").alias("class_id"))
+    equal = equal.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "class_id")
     found = equal.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id")
     )

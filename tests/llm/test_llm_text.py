@@ -126,6 +126,20 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert parity_join.near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_tell_sets_of_like_hashes_apart(spark):
+    """Two near copies whose set hashes agree in their 31 leading bits, by which buckets once took them for equal."""
+    many = 200_000
+    base = " ".join(f"w{k}" for k in range(29))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(many), pa.int64()), pa.array([f"{base} x{k}" for k in range(many)])], ["doc", "text"])
+    got = pa.Table.from_batches(parity_join._set_hashes(5)([batch])).column("own").to_numpy().view(np.uint64)
+    order = np.argsort(got)
+    a, b = next((int(x), int(y)) for x, y in zip(order, order[1:]) if got[x] >> np.uint64(33) == got[y] >> np.uint64(33))
+    assert got[a] != got[b]
+    df = spark.createDataFrame([(k, f"{base} x{k}") for k in (a, b)], "doc_id long, text string")
+    rows = parity_join.near_duplicates(df).collect()
+    assert {r.component_id for r in rows} == {min(a, b)} and {r.class_id for r in rows} == {a, b}
+
+
 def test_benchmark_windows_equal_all_windows(spark, odd, none):
     rng = random.Random(5)
     v = [f"v{k}" for k in range(60)]
