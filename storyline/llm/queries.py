@@ -197,3 +197,75 @@ def op4_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
     from storyline.llm.cross_polytope import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof digest and the root that each document leads to, a seventh of them tampered with."""
+    from storyline.llm.merkle import manifest
+
+    docs = _table(spark, sf_dir, "documents")
+    return manifest(docs, altered={"n_chars": F.col("n_chars") + 1}, when=_remainder(F.col("doc_id"), 7) == 0).drop("path")
+
+
+#: CRC-32 of a short text as DuckDB SQL, byte by byte and bit by bit.
+def _crc32_sql(text: str) -> str:
+    bit = "case when b & 1 = 1 then xor(b >> 1, 3988292384) else b >> 1 end"
+    byte = f"list_reduce(list_prepend(xor(a, x), range(8)), lambda b, k: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, x: {byte}), 4294967295::bigint)"
+
+
+def _framed_sql(columns, **changed) -> str:
+    text = [changed.get(c, c) for c in columns]
+    return " || ".join(f"coalesce(octet_length(encode(({t})::varchar)) || ':' || ({t})::varchar, '-')" for t in text)
+
+
+_LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+ORACLES["op11_merkle_manifest"] = f"""
+with recursive leaves as materialized (
+    select row_number() over () as i, doc_id, lang, sha256({_framed_sql(_LEAF)}) as leaf,
+           case when {_crc32_sql('doc_id::varchar')} % 7 = 0 then sha256({_framed_sql(_LEAF, n_chars='n_chars + 1')}) end as start
+    from documents
+),
+placed as materialized (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n from leaves
+),
+nodes as (
+    select lang, 0 as level, place, leaf as hash, n from placed
+    union all
+    select lang, level + 1, place // 2, sha256(string_agg(hash, '' order by place)), (n + 1) // 2 from nodes where n > 1
+    group by lang, level, place // 2, n
+),
+tops as materialized (
+    select lang, hash, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as n from nodes where n = 1
+),
+above as (
+    select 0 as level, place, hash, n from tops
+    union all
+    select level + 1, place // 2, sha256(string_agg(hash, '' order by place)), (n + 1) // 2 from above where n > 1
+    group by level, place // 2, n
+),
+steps as materialized (
+    select p.i, s.level, p.place // (1::bigint << s.level) % 2 as side, o.hash as other
+    from placed p join nodes s on s.lang is not distinct from p.lang and s.n > 1 and s.place = p.place // (1::bigint << s.level)
+    left join nodes o on o.lang is not distinct from s.lang and o.level = s.level and o.place = xor(s.place, 1)
+    union all
+    select p.i, 1000 + s.level, t.place // (1::bigint << s.level) % 2, o.hash
+    from placed p join tops t on t.lang is not distinct from p.lang join above s on s.n > 1 and s.place = t.place // (1::bigint << s.level)
+    left join above o on o.level = s.level and o.place = xor(s.place, 1)
+),
+turns as materialized (select *, row_number() over (partition by i order by level) as k from steps),
+folded as (
+    select i, 0::bigint as k, coalesce(start, leaf) as hash from leaves
+    union all
+    select f.i, t.k, sha256(case when t.other is null then f.hash when t.side = 0 then f.hash || t.other else t.other || f.hash end)
+    from folded f join turns t on t.i = f.i and t.k = f.k + 1
+),
+ends as (select i, arg_max(hash, k) as hash from folded group by i),
+proofs as (select i, sha256(coalesce(string_agg(other, '' order by k), '')) as proof from turns group by i)
+select p.doc_id, p.leaf, t.hash as subroot, r.hash as root, coalesce(q.proof, sha256('')) as proof_sha256, e.hash as folded_root,
+       e.hash = r.hash as verified
+from placed p join tops t on t.lang is not distinct from p.lang join above r on r.n = 1 join ends e using (i) left join proofs q using (i)
+"""
