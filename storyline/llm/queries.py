@@ -269,3 +269,58 @@ select p.doc_id, p.leaf, t.hash as subroot, r.hash as root, coalesce(q.proof, sh
        e.hash = r.hash as verified
 from placed p join tops t on t.lang is not distinct from p.lang join above r on r.n = 1 join ends e using (i) left join proofs q using (i)
 """
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of conversations that begin with up to three turns of the first of their twenty."""
+    from storyline.llm.prefix_trie import ordered_turns, prefix_trie, spliced
+
+    turns = ordered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(*spliced(turns, _remainder(F.col("conv"), 4), F.col("conv") - F.col("conv") % 20))
+
+
+ORACLES["op12_prefix_trie"] = f"""
+with recursive turns as materialized (
+    select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn nulls first, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) as k
+    from conversations where conv_id is not null
+),
+convs as materialized (select c, c - c % 20 as donor, {_crc32_sql('c::varchar')} % 4 as h from (select distinct c from turns)),
+rebuilt as materialized (
+    select c, row_number() over (partition by c order by own, k) as pos, role, text from (
+        select v.c, false as own, t.k, t.role, t.text from convs v join turns t on t.c = v.donor and t.k <= v.h
+        union all
+        select v.c, true, t.k, t.role, t.text from convs v join turns t on t.c = v.c and t.k > v.h)
+),
+rows as materialized (
+    select c, pos, md5(list([role, text]) over (partition by c order by pos)::varchar || pos) as key,
+           len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words
+    from rebuilt
+    union all
+    select c, 0, 'root', 0 from convs
+),
+chain as materialized (select *, lag(key) over (partition by c order by pos) as up, pos = max(pos) over (partition by c) as ends from rows),
+nodes as materialized (
+    select key, any_value(up) as up, min(c) as c, any_value(pos) as depth, count(*) as n, any_value(words) as words,
+           sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as digest
+    from chain group by key
+),
+kids as (select up as key, count(*) as n from nodes group by up),
+sums as (
+    select r.key, sum((u.n - 1) * u.words) as saved, count(*) filter (where u.key not in (select key from kids where key is not null)) as leaves
+    from nodes u join rows r on r.c = u.c and r.pos <= u.depth group by r.key
+)
+select n.c as conv_id, n.depth::bigint as depth, p.c as parent_conv_id, n.n as n_convs, coalesce(k.n, 0) as n_children, s.leaves as n_leaves,
+       s.saved::bigint as saved_tokens, n.digest as ends_sha256
+from nodes n join sums s using (key) left join kids k on k.key = n.key left join nodes p on p.key = n.up
+"""
+
+
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    from storyline.llm.toxicity import toxicity_scores
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity_scores(docs, labels, held_out=lambda id: _remainder(id, 3) == 1)
