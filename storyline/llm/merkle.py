@@ -21,6 +21,8 @@ from storyline.session import cut_lineage
 BITS = 8
 #: Step of a path that only rehashes; others are "L" or "R" and the sibling that stands left or right.
 ALONE = ""
+#: Groups up to which the paths from their subroots (some 2 KB each) are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 
 
 def framed(values: Sequence[Column]) -> Column:
@@ -136,6 +138,9 @@ def manifest(
     ))
     tops = below.groupBy("g").agg(F.min("subroot").alias("hash")).select(F.lit("").alias("g"), F.col("g").alias("of"), "hash")
     upper = tree_paths(ranked(tops, "g", ["of"])).select(F.col("node.of").alias("g"), F.col("top").alias("root"), F.col("path").alias("more"))
+    upper = cut_lineage(upper)
+    if upper.count() <= BROADCAST_GROUPS:
+        upper = F.broadcast(upper)
     rows = below.join(upper, "g").withColumn("path", F.concat("path", "more")).drop("more")
     siblings = F.array_join(F.transform("path", lambda step: F.substring(step, 2, 64)), "")
     folded = fold(F.coalesce("start", "leaf"), F.col("path"))
