@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from storyline.functions import fixed
@@ -9,6 +11,7 @@ from storyline.operators import clustering as G
 from storyline.operators import dedup as D
 from storyline.operators import feed as S
 from storyline.operators import similarity as Y
+from storyline.operators.assignment import assign_in_slices
 from storyline.operators.similarity import ScoreOptions
 from storyline.plans import bindings as B
 from storyline.plans import oracle_text as O
@@ -171,10 +174,71 @@ def arrivals(spark, sf_dir):
     return arts.join(kept, "article_id", "left_semi")
 
 
-@query("g6_online_assignment")
+def guild():
+    """Two guilds that share every forum."""
+    return (F.floor(F.col("article_id") / 3) % 2 + 1).alias("guild_id")
+
+
+#: Every thirteenth article is late: dated five days before it arrives.
+LATE_US = 5 * 24 * 3600 * 10**6
+ARRIVED_CTE = f"""{FEATURES_CTE}, src AS (SELECT f.*, norm.publisher, norm.fingerprint, norm.canonical_url, norm.feed_id, norm.external_id,
+   article_id // 3 % 2 + 1 AS guild_id, us AS arr, CASE WHEN article_id % 13 = 5 THEN us - {LATE_US} ELSE us END AS pub FROM f JOIN norm USING (article_id)),
+ ks AS MATERIALIZED (SELECT article_id, row_number() OVER (ORDER BY arr, article_id) AS n, list_filter(['id|' || feed_id || '|' || external_id, CASE WHEN canonical_url <> '' THEN 'url|' || canonical_url END,
+   'print|' || publisher || '|' || fingerprint], lambda x: x IS NOT NULL) AS ks FROM src),
+ firsts AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS article_id, CAST([] AS VARCHAR[]) AS seen, false AS kept
+   UNION ALL SELECT k.n, k.article_id, CASE WHEN list_has_any(w.seen, k.ks) THEN w.seen ELSE w.seen || k.ks END, NOT list_has_any(w.seen, k.ks) FROM firsts w JOIN ks k ON k.n = w.n + 1),
+ came AS MATERIALIZED (SELECT src.* REPLACE (pub AS us), row_number() OVER (PARTITION BY guild_id, forum ORDER BY arr, article_id) AS n_th,
+   min(pub) OVER (PARTITION BY guild_id, forum ORDER BY arr, article_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later
+   FROM src JOIN firsts USING (article_id) WHERE kept)"""
+
+
+def arrived(spark, sf_dir):
+    """Articles of two guilds in arrival order, some late."""
+    late = F.when(F.col("article_id") % 13 == 5, F.col("published_us") - LATE_US).otherwise(F.col("published_us"))
+    arts = G.cut_lineage(features(spark, sf_dir).select("*", guild()).withColumn("published_us", late))
+    kept = D.first_wins(arts.withColumn("keys", D.article_keys()), "article_id", ["arrival_us"], "keys")
+    return arts.join(kept, "article_id", "left_semi")
+
+
+def replay_sql(threshold: float, hours: int = 72) -> str:
+    """The sequence itself: one article of each (guild, forum) a step, the open stories as a list."""
+    window = hours * 3600 * 10**6
+    scored = f"""SELECT w.*, list_filter(stories, lambda s: s.us < w.r.us - {window}) AS others, list_transform(list_filter(stories, lambda s: s.us >= w.r.us - {window}), lambda s: {{
+        'score': {SCORE_SQL}, 'us': s.us, 'nid': -s.root, 'hj': hj, 'kw': kw, 'support': {SUPPORT_SQL}, 'facts': facts }}) AS c FROM w"""
+    for name, expression in (
+        ("hj", jac("w.r.t", "s.t")), ("ent", jac("w.r.e", "s.e")), ("kw", jac("w.r.k", "s.k")), ("descr", cos("w.r.d", "s.k")),
+        ("prox", "greatest(0.0::DOUBLE, 1.0::DOUBLE - (abs(w.r.us - s.last)::DOUBLE / 3.6e9::DOUBLE) / 96.0::DOUBLE)"),
+        ("ev", comp("w.r.v", "s.v")), ("num", comp("w.r.n", "s.n")),
+        ("facts", "(len(list_filter(w.r.n, lambda x: NOT list_contains(s.n, x))) > 0 OR len(list_filter(w.r.e, lambda x: NOT list_contains(s.e, x))) > 0)"),
+    ):
+        scored = re.sub(rf"(?<![\w'.]){name}(?![\w'])", lambda _, e=expression: f"({e})", scored)
+    union = lambda c: f"list_sort(list_distinct(list_concat(s.{c}, r.{c})))"
+    return f"""walk AS (SELECT guild_id, forum, CAST(0 AS BIGINT) AS n_th, CAST(NULL AS BIGINT) AS article_id, CAST(NULL AS BIGINT) AS root, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BOOLEAN) AS significant,
+      CAST([] AS STRUCT(root BIGINT, t VARCHAR[], e VARCHAR[], k VARCHAR[], n VARCHAR[], v VARCHAR[], prio INTEGER, last BIGINT, us BIGINT)[]) AS stories FROM came GROUP BY guild_id, forum
+    UNION ALL
+    SELECT guild_id, forum, n_th, r.article_id, root, CASE WHEN fits THEN b.score END, CASE WHEN fits THEN 1.0::DOUBLE - greatest(b.hj, b.kw) >= 0.38::DOUBLE OR b.facts END,
+      list_filter(CASE WHEN fits THEN list_transform(stories, lambda s: CASE WHEN s.root <> root THEN s ELSE {{'root': s.root, 't': CASE WHEN r.priority > s.prio THEN r.t ELSE s.t END,
+          'e': {union('e')}, 'k': {union('k')}[1:24], 'n': {union('n')}, 'v': {union('v')}, 'prio': greatest(r.priority, s.prio), 'last': greatest(s.last, r.us), 'us': r.arr}} END)
+        ELSE list_append(stories, {{'root': r.article_id, 't': r.t, 'e': r.e, 'k': r.k, 'n': r.n, 'v': r.v, 'prio': r.priority, 'last': r.us, 'us': r.arr}}) END, lambda s: s.us >= r.later - {window})
+    FROM (SELECT *, coalesce(b.score >= {threshold} AND b.support, false) AS fits, CASE WHEN coalesce(b.score >= {threshold} AND b.support, false) THEN -b.nid ELSE r.article_id END AS root FROM (
+      SELECT *, list_sort(c, 'DESC')[1] AS b FROM ({scored.replace(' FROM w', ' FROM (SELECT walk.guild_id, walk.forum, came.n_th, walk.stories, came AS r FROM walk JOIN came ON came.guild_id = walk.guild_id AND came.forum = walk.forum AND came.n_th = walk.n_th + 1) w')}))))"""
+
+
+ASSIGNED_SQL = f"WITH RECURSIVE {ARRIVED_CTE.replace('WITH ', '', 1)}, {replay_sql(0.5)} SELECT article_id, root, round(score, 6) AS score, significant FROM walk WHERE n_th > 0"
+
+
+@query("g6_online_assignment", ASSIGNED_SQL)
 def g6(spark, sf_dir):
-    out = G.assign_stories(arrivals(spark, sf_dir), ScoreOptions(threshold=0.85))
-    return out.select("article_id", "root", six("score"), "significant")
+    """In sequence, character ratio off: SQL can replay it."""
+    decisions, _ = assign_in_slices(arrived(spark, sf_dir), PLAIN)
+    return decisions.select("article_id", "root", six("score"), "significant")
+
+
+@query("g6_online_assignment_with_sequence")
+def g6_full(spark, sf_dir):
+    """All signals at the default threshold."""
+    decisions, _ = assign_in_slices(arrived(spark, sf_dir), FULL)
+    return decisions.select("article_id", "root", six("score"), "significant")
 
 
 GROUPS_CTE = f"""{FEATURES_CTE}, gs AS (SELECT f.* EXCLUDE (story_id), article_id // 60 * 30 + article_id % 30 AS story_id FROM f),
