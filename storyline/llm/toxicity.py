@@ -44,13 +44,12 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "#": "h", "*": "aeiou",
 }
 #: Prices (nats) of a sign for a letter, of a separator inside a word, of keeping one of a run's letters or two, of a sign as an end.
-SIGN, JOINED, ONE, TWO, KEPT = 1.0, 1.5, 0.2, 0.5, 1.0
+SIGN, JOINED, ONE, TWO, KEPT = 1.0, 1.5, 0.2, 0.5, 2.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_][^\sa-zA-Z]*[0-9@$!|+€(#*._\-~/]+[^\sa-zA-Z]*[^\W\d_]|(?:^|\W)[@$€(][^\W\d_]|[^\W\d_][0-9]$")
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>#%&*~_-=/\\|^`+"
-_APART = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|€*])(?:[ \t.\-_*/~|,]{1,3}(?:[^\W_]|[@$!€*])){2,}(?![^\s.,;:!?])")
 
 
 @cache
@@ -157,50 +156,91 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
 
 
 class Reader:
-    """Words of texts as restored by the channel."""
+    """Words of texts as restored by the channel, and their weights."""
 
-    def __init__(self, letters: Letters):
-        self.letters, self.known = letters, {}
+    def __init__(self, letters: Letters, table: dict[str, float] | None = None):
+        self.letters, self.table, self.known = letters, table or {}, {}
+        self.heads = {part.rstrip("-")[: BEGINNINGS[0]] for part in self.table}  # most words begin like none that has a weight
 
-    def token(self, token: str) -> tuple[str, ...]:
-        """Words of a lower-cased token without white space."""
+    def restored(self, token: str) -> tuple[str, ...]:
+        """Words of a lower-cased token; white space in it parts single letters."""
         if token.isalpha() and not _RUN.search(token):
             return (token,)
         core = token.strip(_EDGES)
-        if core and not core.isalpha() and _MIXED.search(core):
+        if " " in core or (core and not core.isalpha() and _MIXED.search(core)):
             core = self.letters.decode(lattice(core))
         return tuple(
             part for word in _WORD.findall(core)
             for part in (_WORD.findall(self.letters.decode(lattice(word))) if _RUN.search(word) else (word,))
         )
 
-    def words(self, text: str | None) -> Counter:
-        """How often each restored word occurs in the text."""
-        text, found = (text or "").lower(), Counter()
-        if _APART.search(text):
-            for m in _APART.finditer(text):
-                found.update(_WORD.findall(self.letters.decode(lattice(m[0]))))
-            text = _APART.sub(" ", text)
-        for token, n in Counter(text.split()).items():
+    def _read(self, text: str | None) -> Iterator[tuple[str, int]]:
+        """Restored words and how often each token that gives them occurs; a word can come several times."""
+        text = text or ""
+        doubtful = _RUN.search(text.lower()) is not None
+        for token, n in self.tokens(text).items():
+            if n <= 0:
+                continue
+            word = token if token.isalpha() else token.strip(_EDGES)
+            if word.isalpha() and not (doubtful and _RUN.search(word)):
+                yield word, n
+                continue
             words = self.known.get(token)
             if words is None:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
-                words = self.known[token] = self.token(token)
+                words = self.known[token] = self.restored(token)
             for word in words:
-                found[word] += n
+                yield word, n
+
+    @staticmethod
+    def tokens(text: str | None) -> Counter:
+        """How often each lower-cased token occurs; three or more single characters in a row are one token."""
+        found = (text or "").lower().split()
+        single = [i for i, t in enumerate(found) if len(t) == 1 or (len(t) == 2 and t[1] in ".,;:!?")]
+        counts, joined, run = Counter(found), [], 0
+        for k in range(1, len(single) + 1):
+            if k == len(single) or single[k] != single[k - 1] + 1:
+                if k - run > 2:
+                    joined.append(found[single[run]:single[k - 1] + 1])
+                run = k
+        for part in joined:
+            counts.subtract(part)
+            counts[" ".join(part)] += 1
+        return counts
+
+    def words(self, text: str | None) -> Counter:
+        """How often each restored word occurs in the text."""
+        found = Counter()
+        for word, n in self._read(text):
+            found[word] += n
         return found
 
+    def measures(self, text: str | None) -> list[float]:
+        """``measures`` of the text's restored words."""
+        size, hits, heads, first = 0, Counter(), self.heads, BEGINNINGS[0]
+        for word, n in self._read(text):
+            size += n
+            if word[:first] in heads:
+                hits[word] += n
+        weighed = ((weight_of(word, self.table), n) for word, n in hits.items())
+        return measures(size, [(v, n) for v, n in weighed if v > 0])
+
+
+def weight_of(word: str, table: dict[str, float]) -> float:
+    return max(table.get(part, 0.0) for part in beginnings(word))
+
 
 def beginnings(word: str) -> list[str]:
+    """The word and its first letters, the parts that can have a weight."""
     return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)]
 
 
-def measures(words: Counter, weight: Callable[[str], float]) -> list[float]:
-    """What the model sees of a document: its highest weights, their sum alone and against its length, and the length."""
-    hits = sorted(((w, n) for w, n in ((weight(word), n) for word, n in words.items()) if w > 0), reverse=True)
+def measures(size: int, hits: list[tuple[float, int]]) -> list[float]:
+    """What the model sees of a document of ``size`` words, some with weights: the highest ones, their sum alone and against the length, the length."""
+    hits = sorted(hits, reverse=True)
     top = [w for w, _ in hits[:3]] + [0.0] * 3
-    size, total = sum(words.values()), sum(w * min(n, 5) for w, n in hits)
+    total = sum(w * min(n, 5) for w, n in hits)
     return [*top[:3], math.log1p(total), total / math.sqrt(size + 5), 10 * total / (size + 20), math.log1p(size)]
 
 
@@ -214,10 +254,6 @@ def weights(toxic: dict[str, int], clean: dict[str, int], documents: tuple[int,
     return out
 
 
-def _weigher(table: dict[str, float]) -> Callable[[str], float]:
-    return lambda word: max((table.get(part, 0.0) for part in beginnings(word)), default=0.0)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, spreads and coefficients (the first without measure) of a ridge logistic model, by Newton's steps."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -239,13 +275,15 @@ class Model:
     fit: tuple[np.ndarray, np.ndarray, np.ndarray] | None
     share: float
 
+    def reader(self) -> Reader:
+        return Reader(self.letters, self.table)
+
     def scores(self, reader: Reader, texts: Iterable[str | None]) -> np.ndarray:
         """Probability of label 1; without a fitted model the smoothed share of label 1."""
-        weigh = _weigher(self.table)
         if self.fit is None:
             return np.array([self.share for _ in texts])
         mean, spread, w = self.fit
-        x = np.array([measures(reader.words(t), weigh) for t in texts]).reshape(-1, len(mean))
+        x = np.array([reader.measures(t) for t in texts]).reshape(-1, len(mean))
         return 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / spread) @ w[1:], -30, 30)))
 
 
@@ -316,10 +354,12 @@ def fit(
     tables = spark.sparkContext.broadcast([table(f) for f in range(FOLDS)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = [_weigher(t) for t in tables.value]
         for batch in batches:
             f, y, words, counts = (batch.column(k).to_pylist() for k in range(4))
-            x = [measures(Counter(dict(zip(w, c))), weigh[g]) for g, w, c in zip(f, words, counts)]
+            x = []
+            for g, w, c in zip(f, words, counts):
+                weighed = ((weight_of(word, tables.value[g]), n) for word, n in zip(w, c))
+                x.append(measures(sum(c), [(v, n) for v, n in weighed if v > 0]))
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     seen = known.select("fold", "y", "words", "counts").mapInArrow(measure, "y int, x array<double>").toArrow()
@@ -344,7 +384,7 @@ def toxicity_scores(
     out = F.lit(False) if held_out is None else F.coalesce(held_out(F.col("doc_id")), F.lit(False))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.value.letters)
+        reader = model.value.reader()
         for batch in batches:
             scores = model.value.scores(reader, (v.as_py() for v in batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
