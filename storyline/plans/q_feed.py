@@ -8,6 +8,7 @@ from storyline.functions import fixed
 from storyline.functions.urls import bare_host
 from storyline.operators import feed as S
 from storyline.operators import ranking as R
+from storyline.operators.candidates import candidate_stories
 from storyline.operators.feed import FeedQuery
 from storyline.operators.mutations import A8_SETS, feature_rollup
 from storyline.plans import bindings as B
@@ -389,6 +390,18 @@ def j1(spark, sf_dir):
     return candidate_counts(B.articles(spark, sf_dir), B.stories(spark, sf_dir), hours=72)
 
 
+@query(
+    "j1_candidate_stories",
+    f"""{ST} SELECT a.article_id, s.story_id, epoch_us(s.last_updated_at) AS updated_us FROM articles a JOIN stories s ON s.guild_id = a.article_id // 3 % 2 + 1 AND s.forum = a.forum
+      AND s.state <> 'merged' AND s.last_updated_at >= a.published_at - INTERVAL 72 HOUR WHERE a.published_at >= {NOW_SQL} - INTERVAL 24 HOUR""",
+)
+def j1_rows(spark, sf_dir):
+    """Each article of the last day with the stories of its guild and forum that it may join; two guilds share every forum."""
+    new = B.articles(spark, sf_dir).filter(F.col("published_at") >= hours_ago(24)).withColumn("guild_id", F.floor(F.col("article_id") / 3) % 2 + 1)
+    pairs = candidate_stories(new, B.stories(spark, sf_dir), hours=72)
+    return pairs.select("article_id", "story_id", F.unix_micros("last_updated_at").alias("updated_us"))
+
+
 def candidate_counts(articles, stories, hours: int):
     """How many live stories of its forum each article may join, and the newest of them.
 
