@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from storyline.functions.clock import iso_text
 from storyline.plans import bindings as B
 from storyline.plans import oracle_text as O
 from storyline.plans.registry import query
+from storyline.session import cut_lineage, ensure_checkpoint_dir
 from storyline.sources import pages as P
 from storyline.sources import rss as R
 from storyline.sources import social as X
+from storyline.sources.posts import PostsSource, split_posts, store_posts
 
 
 def feed_documents(spark, sf_dir):
@@ -128,6 +132,45 @@ def s6(spark, sf_dir):
     )
 
 
+@query(
+    "s6_post_stream",
+    """WITH p AS (SELECT 'feed' || (conv_id % 7) AS feed, conv_id * 100 + turn AS id, CASE WHEN conv_id % 11 = 4 AND turn = 1 THEN 'broken' WHEN conv_id % 13 = 5 AND turn = 0 THEN 'no text' END AS bad,
+      turn = 2 AS reply FROM conversations)
+    SELECT feed, max(id) AS cursor_value, count(*) FILTER (WHERE bad IS NULL AND NOT reply) AS posts, count(*) FILTER (WHERE bad IS NOT NULL) AS rejects FROM p GROUP BY feed""",
+)
+def s6_stream(spark, sf_dir):
+    """Posts read feed by feed beyond the highest id read before, in several micro-batches and over a restart; malformed ones apart."""
+    folder = f"{ensure_checkpoint_dir(spark)}/posts-{uuid.uuid4().hex}"
+    t = F.col("turn")
+    body = F.struct(
+        (F.col("conv_id") * 100 + t).cast("string").alias("id"), F.when((F.col("conv_id") % 13 != 5) | (t != 0), F.coalesce("text", F.lit(""))).alias("text"),
+        F.lit("2024-01-05T10:00:00Z").alias("created_at"), (t == 2).alias("is_reply"),
+    )
+    rows = B.read(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("feed"), (F.col("conv_id") % 7).cast("string")).alias("feed"), (F.col("conv_id") * 100 + t).alias("id"),
+        F.when((F.col("conv_id") % 11 == 4) & (t == 1), F.lit('{"id": "broken')).otherwise(F.to_json(body)).alias("json"),
+    )
+    spark.dataSource.register(PostsSource)
+    half = rows.agg(F.expr("percentile(id, 0.5)")).first()[0]
+
+    def each(batch, batch_id):
+        batch = cut_lineage(batch)
+        good, bad = split_posts(batch.withColumns({"username": F.lit("desk"), "display_name": F.lit("The Desk")}))
+        items = X.parse_posts(good, replies=False).select("feed", F.col("external_id").cast("long").alias("id"), F.lit(True).alias("good"))
+        items.unionByName(bad.select("feed", "id", F.lit(False).alias("good"))).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        batch.groupBy("feed").agg(F.max("id").alias("cursor")).write.mode("overwrite").parquet(f"{folder}/cursors/batch={batch_id}")
+
+    for part in (F.col("id") <= half, F.col("id") > half):  # more posts come between two runs of the stream
+        store_posts(rows.filter(part), f"{folder}/posts")
+        most = int(rows.agg(F.max("id") - F.min("id")).first()[0] or 0) // 3 + 1
+        query = spark.readStream.format("posts").option("path", f"{folder}/posts").option("idsPerTrigger", most).load().writeStream.foreachBatch(each)
+        query = query.option("checkpointLocation", f"{folder}/checkpoint").start()
+        query.processAllAvailable()
+        query.stop()
+    out = spark.read.parquet(f"{folder}/out").groupBy("feed").agg(F.count_if("good").alias("posts"), F.count_if(~F.col("good")).alias("rejects"))
+    return spark.read.parquet(f"{folder}/cursors").groupBy("feed").agg(F.max("cursor").alias("cursor_value")).join(out, "feed", "left").select("feed", "cursor_value", "posts", "rejects")
+
+
 @query("s7_page_articles")
 def s7(spark, sf_dir):
     out = P.extract_pages(B.read(spark, sf_dir, "pages"))

@@ -101,9 +101,8 @@ class PostsSource(DataSource):
 
 
 def store_posts(posts: DataFrame, path: str) -> None:
-    """Posts (feed, json, ...) as the table that the source reads, in order of their ids; those without a numeric id are left out."""
-    id = F.get_json_object("json", "$.id").try_cast("bigint")
-    rows = posts.withColumn("id", id).filter("id is not null and feed is not null").select("feed", "id", "json")
+    """Posts (feed, id, json) as the table that the source reads, in order of their ids; those without a feed or an id are left out."""
+    rows = posts.filter("id is not null and feed is not null").select("feed", F.col("id").cast("long").alias("id"), "json")
     rows.repartition("feed").sortWithinPartitions("feed", "id").write.mode("append").partitionBy("feed").parquet(path)
 
 
