@@ -18,9 +18,13 @@ from pyspark.sql import types as T
 
 from storyline.functions import fixed
 from storyline.functions.text import let
+from storyline.session import cut_lineage
 
-FREQUENT_TOKENS = 4096  # size of the broadcast frequency table; order stays total beyond it
-BLOCK_ROWS = 2000  # rows of one block handled by one task before the block is salted
+BLOCK_ROWS = 2000  # rows of one block on one side that meet in a task; larger blocks are dealt over a grid of slices
+#: Articles only meet others of their guild and forum.
+PLACE = ["guild_id", "forum"]
+#: Characters that normalised titles consist of.
+TITLE_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789. "
 
 
 @dataclass(frozen=True)
@@ -124,15 +128,31 @@ def has_support(hj, seq, ent, kw, desc, ev) -> Column:
 SIGNALS = ("hj", "ent", "kw", "descr", "prox", "ev", "num")
 
 
+def character_counts(text: Column) -> Column:
+    """How often each of TITLE_CHARACTERS occurs in a normalised title, as an array."""
+    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in TITLE_CHARACTERS])
+
+
+def ratio_bound(left: Column, right: Column) -> Column:
+    """What the character ratio of two titles cannot exceed: twice the characters that both have, over all."""
+    shared = F.aggregate(F.zip_with(left, right, lambda a, b: F.least(a, b)), F.lit(0), lambda n, x: n + x)
+    every = F.aggregate(F.concat(left, right), F.lit(0), lambda n, x: n + x)
+    return F.when(every == 0, F.lit(1.0)).otherwise(2.0 * shared / every)
+
+
 def score_columns(df: DataFrame, options: ScoreOptions, threshold: float | None) -> DataFrame:
     """Add seq, score and support to rows with the cheap signals and texts ``lt`` / ``rt``.
 
-    With a threshold, rows that cannot reach it even with a perfect sequence are dropped before
-    the Arrow UDF sees them.
+    With a threshold, rows that cannot reach it even with a perfect sequence are dropped, and then those that cannot with
+    the ratio that their characters (``lc`` / ``rc``, where given) allow at most; the Arrow UDF sees the rest.
     """
     c = [F.col(x) for x in SIGNALS]
     best = weighted(c[0], F.lit(1.0 if options.sequence else 0.0), *c[1:])
     rows = df if threshold is None else df.filter(best >= threshold - 1e-9)
+    if "lc" in df.columns:
+        if threshold is not None and options.sequence:
+            rows = rows.filter(weighted(c[0], ratio_bound(F.col("lc"), F.col("rc")), *c[1:]) >= threshold - 1e-9)
+        rows = rows.drop("lc", "rc")
     seq = sequence_ratio(F.col("lt"), F.col("rt")) if options.sequence else F.lit(0.0)
     rows = rows.withColumn("seq", seq)
     s = F.col("seq")
@@ -149,7 +169,11 @@ FEATURES = ("title_tokens", "entities", "keywords", "numbers", "event_terms", "p
 def article_signals(pairs: DataFrame, articles: DataFrame) -> DataFrame:
     """Cheap signals of pairs (left_id, right_id) of articles."""
     def side(p):
-        return articles.select(F.col("article_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in FEATURES])
+        text = F.array_join("title_tokens", " ")
+        return articles.select(
+            F.col("article_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in FEATURES], text.alias(f"{p[0]}t"),
+            character_counts(text).alias(f"{p[0]}c"),
+        )
 
     j = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
 
@@ -166,8 +190,7 @@ def article_signals(pairs: DataFrame, articles: DataFrame) -> DataFrame:
         time_proximity(*lr("published_us")).alias("prox"),
         compatibility(*lr("event_terms")).alias("ev"),
         compatibility(*lr("numbers")).alias("num"),
-        F.array_join("left_title_tokens", " ").alias("lt"),
-        F.array_join("right_title_tokens", " ").alias("rt"),
+        "lt", "rt", "lc", "rc",
     )
 
 
@@ -175,9 +198,8 @@ def article_signals(pairs: DataFrame, articles: DataFrame) -> DataFrame:
 def rare_prefixes(articles: DataFrame, bounds: dict[str, tuple[float, str]], carry: list[str]) -> DataFrame:
     """Rarest-first prefix of each set: rows (article_id, *carry, kind, token).
 
-    ``bounds`` maps kind → (bound, "jaccard" | "cosine").  Any total order works; rare tokens
-    first keeps blocks small.  Only the most frequent tokens need a known frequency, so the
-    broadcast table has a fixed size and everything else counts as rare.
+    ``bounds`` maps kind → (bound, "jaccard" | "cosine").  Any total order of tokens works; rare ones
+    first keep blocks small, so tokens are ordered by how many sets hold them.
     """
     arrays = {"t": "title_tokens", "e": "entities", "k": "keywords", "d": "description_tokens"}
 
@@ -195,74 +217,79 @@ def rare_prefixes(articles: DataFrame, bounds: dict[str, tuple[float, str]], car
     tokens = articles.select(
         "article_id", *carry, F.explode(F.concat(*[tagged(k) for k in bounds])).alias("x")
     ).select("article_id", *carry, "x.*")
-    frequent = (
-        tokens.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("df"), "kind", "token").limit(FREQUENT_TOKENS)
-    )
-    ranked = tokens.join(F.broadcast(frequent), ["kind", "token"], "left")
-    order = W.partitionBy("article_id", "kind").orderBy(F.coalesce("df", F.lit(0)), "token")
+    held = tokens.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(held, ["kind", "token"])
+    order = W.partitionBy("article_id", "kind").orderBy("df", "token")
     return (
         ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("take"))
         .select("article_id", *carry, "kind", "token")
     )
 
 
-def window_blocks(prefixes: DataFrame, window_hours: int) -> DataFrame:
-    """Prefix rows in their time bucket (own) and in the next one (not own).
+def window_blocks(prefixes: DataFrame, window_hours: int | None) -> DataFrame:
+    """Prefix rows in their time bucket (own) and in the next one (not own); in one bucket if there is no window.
 
     Buckets are one window long, so two articles within the window meet in exactly one bucket
     where at least one of them is at home.
     """
+    if window_hours is None:
+        return prefixes.withColumn("bucket", F.lit(0).cast("long")).withColumn("own", F.lit(True))
     size = window_hours * 3600 * 10**6
     home = F.floor(F.col("published_us") / size)
     rows = prefixes.withColumn("bucket", home).withColumn("own", F.lit(True))
     return rows.unionByName(rows.withColumn("bucket", home + 1).withColumn("own", F.lit(False)))
 
 
-BLOCK = ["forum", "kind", "token", "bucket"]
+BLOCK = [*PLACE, "kind", "token", "bucket"]
 
 
 def salted_pairs(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Join rows of equal blocks; blocks of more than ``BLOCK_ROWS`` rows are cut into slices.
+    """Join rows of equal blocks; a block with more than ``BLOCK_ROWS`` rows on a side is dealt over a grid of slices.
 
-    The left rows of a large block are spread over its slices and the right rows repeated in
-    each, so no task pairs more than ``BLOCK_ROWS`` left rows with a block.
+    A row goes to one slice of its own side and to every slice of the other, so no task pairs more than ``BLOCK_ROWS``
+    rows of either side.
     """
-    sizes = left.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS)
-    slices = sizes.select(*BLOCK, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("slices"))
-    cut = F.coalesce("slices", F.lit(1))
-    a = left.join(slices, BLOCK, "left").select(
-        *BLOCK, F.pmod(F.hash("article_id"), cut).alias("slice"), *[F.col(c).alias(f"l_{c}") for c in columns]
-    )
-    b = right.join(slices, BLOCK, "left").select(
-        *BLOCK, F.explode(F.sequence(F.lit(0), cut - 1)).alias("slice"), *[F.col(c).alias(f"r_{c}") for c in columns]
-    )
-    return a.join(b, [*BLOCK, "slice"])
+    def sizes(side, name):
+        return side.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > BLOCK_ROWS)
+
+    hot = sizes(left, "n").join(sizes(right, "m"), BLOCK, "full")
+    cuts = lambda c: F.coalesce(F.ceil(F.col(c) / BLOCK_ROWS).cast("int"), F.lit(1))
+    hot = cut_lineage(hot.select(*BLOCK, cuts("n").alias("lefts"), cuts("m").alias("rights")))
+
+    def dealt(side, p, mine, other):
+        joined = side if hot.isEmpty() else side.join(hot, BLOCK, "left")
+        own, across = (F.coalesce(x, F.lit(1)) if x in joined.columns else F.lit(1) for x in (mine, other))
+        return joined.select(
+            *BLOCK, F.pmod(F.hash("article_id"), own).alias(mine), F.explode(F.sequence(F.lit(0), across - 1)).alias(other),
+            *[F.col(c).alias(f"{p}_{c}") for c in columns],
+        )
 
+    return dealt(left, "l", "lefts", "rights").join(dealt(right, "r", "rights", "lefts"), [*BLOCK, "lefts", "rights"])
 
-def candidate_pairs(articles: DataFrame, options: ScoreOptions, window_hours: int | None = None) -> DataFrame:
+
+def candidate_pairs(articles: DataFrame, options: ScoreOptions, window: bool = True) -> DataFrame:
     """Distinct pairs (left_id, right_id), left the later one, that may reach the threshold.
 
-    Both are within the window of the options, or of ``window_hours`` where that is given.
+    Both are of one guild and forum, and within the window of the options unless ``window`` is off.
     """
-    hours = window_hours or options.window_hours
+    hours = options.window_hours if window else None
     t, e, d = options.article_bounds()
     prefixes = rare_prefixes(
-        articles, {"t": (t, "jaccard"), "e": (e, "jaccard"), "k": (d, "cosine")}, ["forum", "published_us"]
+        articles, {"t": (t, "jaccard"), "e": (e, "jaccard"), "k": (d, "cosine")}, [*PLACE, "published_us"]
     )
-    blocks = window_blocks(prefixes, hours)
+    blocks = cut_lineage(window_blocks(prefixes, hours))
     joined = salted_pairs(blocks.filter("own"), blocks, ["article_id", "published_us", "own"])
     return oriented(joined, hours)
 
 
-def oriented(joined: DataFrame, window_hours: int) -> DataFrame:
+def oriented(joined: DataFrame, window_hours: int | None) -> DataFrame:
     """Distinct later/earlier pairs within the window from rows with l_/r_ ids, times and own."""
-    size = window_hours * 3600 * 10**6
+    near = F.lit(True) if window_hours is None else F.abs(F.col("l_published_us") - F.col("r_published_us")) <= window_hours * 3600 * 10**6
     a = F.struct(F.col("l_published_us"), F.col("l_article_id"))
     b = F.struct(F.col("r_published_us"), F.col("r_article_id"))
     hit = joined.filter(
         (F.col("l_article_id") != F.col("r_article_id"))
-        & (F.abs(F.col("l_published_us") - F.col("r_published_us")) <= size)
+        & near
         # Two rows at home meet twice; keep one of the two.
         & (~F.col("r_own") | (a > b))
     )
@@ -274,11 +301,12 @@ def oriented(joined: DataFrame, window_hours: int) -> DataFrame:
 
 
 def similar_articles(articles: DataFrame, options: ScoreOptions) -> DataFrame:
-    """Supported article pairs of one forum within the window, score at least the threshold.
+    """Supported article pairs of one guild and forum within the window, score at least the threshold.
 
-    Needs article_id, forum, published_us and the feature arrays; run it on de-duplicated
+    Needs article_id, guild_id, forum, published_us and the feature arrays; run it on de-duplicated
     articles (``first_wins``), so that copies do not multiply pairs.
     """
-    pairs = candidate_pairs(articles, options)
-    scored = score_columns(article_signals(pairs, articles), options, options.threshold)
+    feats = cut_lineage(articles.select("article_id", *PLACE, *FEATURES))  # read by the search and by both sides of the pairs
+    pairs = candidate_pairs(feats, options)
+    scored = score_columns(article_signals(pairs, feats), options, options.threshold)
     return scored.filter(F.col("support") & (F.col("score") >= options.threshold))

@@ -24,17 +24,22 @@ PLAIN = ScoreOptions(threshold=0.5, sequence=False)
 FULL = ScoreOptions(threshold=0.68)
 
 
+def guild():
+    """Two guilds that share every forum."""
+    return (F.floor(F.col("article_id") / 3) % 2 + 1).alias("guild_id")
+
+
 def features(spark, sf_dir):
     n = norm(spark, sf_dir)
     us = F.unix_micros("published_at")
     return n.select(
-        "article_id", "forum", "story_id", "publisher", "fingerprint", "canonical_url", "feed_id", "external_id",
+        "article_id", guild(), "forum", "story_id", "publisher", "fingerprint", "canonical_url", "feed_id", "external_id",
         "title_tokens", "description_tokens", "entities", "keywords", "numbers", "event_terms",
         us.alias("published_us"), us.alias("arrival_us"), (F.col("article_id") % 4).cast("int").alias("priority"),
     )
 
 
-FEATURES_CTE = f"""{NORM}, f AS MATERIALIZED (SELECT article_id, forum, story_id, title_tokens AS t, description_tokens AS d, entities AS e, keywords AS k,
+FEATURES_CTE = f"""{NORM}, f AS MATERIALIZED (SELECT article_id, article_id // 3 % 2 + 1 AS guild_id, forum, story_id, title_tokens AS t, description_tokens AS d, entities AS e, keywords AS k,
    numbers AS n, event_terms AS v, epoch_us(published_at) AS us, CAST(article_id % 4 AS INTEGER) AS priority FROM norm)"""
 
 
@@ -126,7 +131,7 @@ def g5(spark, sf_dir):
 def pairs_cte(source: str = "f", window: str = " AND a.us - b.us <= 259200000000") -> str:
     """All supported pairs within the window by brute force, later article first."""
     return f"""ps AS (SELECT a.article_id AS left_id, b.article_id AS right_id, {signals_sql('a', 'b', cos('a.k', 'b.k'))}
-   FROM {source} a JOIN {source} b ON a.forum = b.forum AND (a.us, a.article_id) > (b.us, b.article_id){window}),
+   FROM {source} a JOIN {source} b ON a.guild_id = b.guild_id AND a.forum = b.forum AND (a.us, a.article_id) > (b.us, b.article_id){window}),
  similar_pairs AS MATERIALIZED (SELECT * FROM (SELECT *, {SCORE_SQL} AS score, {SUPPORT_SQL} AS support FROM ps) WHERE support AND score >= 0.5)"""
 
 
@@ -148,7 +153,7 @@ def j2_full(spark, sf_dir):
     f"""WITH {FEATURES_CTE.replace('WITH ', '', 1)},
     st AS (SELECT a.article_id, a.us AS a_us, b.story_id * 100 + instr('en fr de es', b.forum) AS root, max(b.us) AS us, arg_max(b.t, (b.priority, -b.us, -b.article_id)) AS t,
       list_distinct(flatten(list(b.e))) AS e, list_sort(list_distinct(flatten(list(b.k))))[1:24] AS k, list_distinct(flatten(list(b.n))) AS n, list_distinct(flatten(list(b.v))) AS v
-      FROM f a JOIN f b ON a.forum = b.forum AND (b.us, b.article_id) < (a.us, a.article_id) WHERE a.article_id % 2 = 1 AND b.article_id % 2 = 0 GROUP BY ALL),
+      FROM f a JOIN f b ON a.guild_id = b.guild_id AND a.forum = b.forum AND (b.us, b.article_id) < (a.us, a.article_id) WHERE a.article_id % 2 = 1 AND b.article_id % 2 = 0 GROUP BY ALL),
     sg AS (SELECT a.article_id, st.root, st.us AS updated, {signals_sql('a', 'st', cos('a.d', 'st.k'))},
       len(list_filter(a.n, lambda x: NOT list_contains(st.n, x))) > 0 OR len(list_filter(a.e, lambda x: NOT list_contains(st.e, x))) > 0 AS facts
       FROM st JOIN f a USING (article_id) WHERE st.us >= st.a_us - 259200000000),
@@ -167,22 +172,10 @@ def g4(spark, sf_dir):
     )
 
 
-def arrivals(spark, sf_dir):
-    """Articles that survive the three-key duplicate rule, as ingestion sees them."""
-    arts = G.cut_lineage(features(spark, sf_dir))
-    kept = D.first_wins(arts.withColumn("keys", D.article_keys()), "article_id", ["published_us"], "keys")
-    return arts.join(kept, "article_id", "left_semi")
-
-
-def guild():
-    """Two guilds that share every forum."""
-    return (F.floor(F.col("article_id") / 3) % 2 + 1).alias("guild_id")
-
-
 #: Every thirteenth article is late: dated five days before it arrives.
 LATE_US = 5 * 24 * 3600 * 10**6
 ARRIVED_CTE = f"""{FEATURES_CTE}, src AS (SELECT f.*, norm.publisher, norm.fingerprint, norm.canonical_url, norm.feed_id, norm.external_id,
-   article_id // 3 % 2 + 1 AS guild_id, us AS arr, CASE WHEN article_id % 13 = 5 THEN us - {LATE_US} ELSE us END AS pub FROM f JOIN norm USING (article_id)),
+   us AS arr, CASE WHEN article_id % 13 = 5 THEN us - {LATE_US} ELSE us END AS pub FROM f JOIN norm USING (article_id)),
  ks AS MATERIALIZED (SELECT article_id, row_number() OVER (ORDER BY arr, article_id) AS n, list_filter(['id|' || feed_id || '|' || external_id, CASE WHEN canonical_url <> '' THEN 'url|' || canonical_url END,
    'print|' || publisher || '|' || fingerprint], lambda x: x IS NOT NULL) AS ks FROM src),
  firsts AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS article_id, CAST([] AS VARCHAR[]) AS seen, false AS kept
@@ -195,7 +188,7 @@ ARRIVED_CTE = f"""{FEATURES_CTE}, src AS (SELECT f.*, norm.publisher, norm.finge
 def arrived(spark, sf_dir):
     """Articles of two guilds in arrival order, some late."""
     late = F.when(F.col("article_id") % 13 == 5, F.col("published_us") - LATE_US).otherwise(F.col("published_us"))
-    arts = G.cut_lineage(features(spark, sf_dir).select("*", guild()).withColumn("published_us", late))
+    arts = G.cut_lineage(features(spark, sf_dir).withColumn("published_us", late))
     kept = D.first_wins(arts.withColumn("keys", D.article_keys()), "article_id", ["arrival_us"], "keys")
     return arts.join(kept, "article_id", "left_semi")
 

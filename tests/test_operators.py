@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from storyline.operators import classify as K
+from storyline.operators.assignment import assign_in_slices
+from storyline.operators.candidates import candidate_stories
 from storyline.operators import clustering as G
 from storyline.operators import dedup as D
 from storyline.operators import ranking as R
@@ -83,7 +85,8 @@ def item(i, title, summary, publisher="Reuters", minutes=None, url=""):
 
 def features(df):
     us = F.unix_micros("published_at")
-    return normalize_items(df).withColumns({"published_us": us, "arrival_us": us})
+    guild = F.col("guild_id") if "guild_id" in df.columns else F.lit(1)
+    return normalize_items(df).withColumns({"published_us": us, "arrival_us": us, "guild_id": guild.cast("long")})
 
 
 def test_paraphrases_cluster(spark):
@@ -93,7 +96,7 @@ def test_paraphrases_cluster(spark):
         item(3, "Federal Reserve raises interest rates by 50 basis points", "The Federal Reserve raised rates.", "NPR"),
         item(4, "NASA launches a spacecraft to the moon", "The rocket left on Monday.", "CNN"),
     ]
-    out = G.assign_stories(features(spark.createDataFrame(rows, ITEM)), ScoreOptions()).collect()
+    out = assign_in_slices(features(spark.createDataFrame(rows, ITEM)), ScoreOptions())[0].collect()
     assert {r["article_id"]: r["root"] for r in out} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
@@ -151,21 +154,73 @@ def replay(rows, options):
     return out
 
 
-def test_assignment_equals_sequential_replay(spark):
+@pytest.mark.parametrize("slice_rows", [4, 2000])
+def test_assignment_equals_sequential_replay(spark, slice_rows):
+    """Over many slices and one; two guilds in one forum; late articles; stories that last from the first slice to the last."""
     random.seed(5)
     heads = ["Senate approves the budget bill", "Storm floods coastal towns", "Chip maker unveils new processor"]
     extra = ["late", "vote", "harbour", "report", "night", "record", "coast", "talks"]
     rows = [
         item(i, f"{random.choice(heads)} {random.choice(extra)}", f"{random.choice(heads)} as {' '.join(random.sample(extra, 3))} continue in Berlin.",
              f"Outlet {i % 9}", minutes=i * 150)
-        for i in range(1, 15)
+        for i in range(1, 41)
     ]
-    arts = G.cut_lineage(features(spark.createDataFrame(rows, ITEM)))
+    arts = features(spark.createDataFrame(rows, ITEM)).withColumn("guild_id", F.col("article_id") % 2)
+    late = F.when(F.col("article_id") % 7 == 0, F.col("published_us") - 90 * G.HOUR_US).otherwise(F.col("published_us"))
+    arts = G.cut_lineage(arts.withColumn("published_us", late))
     options = ScoreOptions(threshold=0.68)
-    got = {r["article_id"]: r["root"] for r in G.assign_stories(arts, options).collect()}
-    want = replay([r.asDict() for r in arts.collect()], options)
+    got = {r["article_id"]: r["root"] for r in assign_in_slices(arts, options, rows=slice_rows)[0].collect()}
+    want = {}
+    for guild in (0, 1):
+        want |= replay([r.asDict() for r in arts.filter(F.col("guild_id") == guild).collect()], options)
     assert got == want
-    assert 1 < len(set(want.values())) < 14
+    assert 1 < len(set(want.values())) < 39
+
+
+def test_stories_handed_over_continue(spark):
+    """What one call leaves open is what the next starts from."""
+    rows = [item(i, f"Senate approves the budget bill {i % 3}", f"Senators in Berlin voted {i}.", f"Outlet {i}", minutes=i * 60) for i in range(1, 13)]
+    arts = G.cut_lineage(features(spark.createDataFrame(rows, ITEM)))
+    whole = {r["article_id"]: r["root"] for r in assign_in_slices(arts, ScoreOptions())[0].collect()}
+    one, left = assign_in_slices(arts.filter("article_id < 7"), ScoreOptions())
+    two, _ = assign_in_slices(arts.filter("article_id >= 7"), ScoreOptions(), left)
+    assert {r["article_id"]: r["root"] for r in one.unionByName(two).collect()} == whole
+    none, _ = assign_in_slices(arts.limit(0), ScoreOptions(), left)
+    assert none.collect() == []
+
+
+def test_guilds_that_share_a_forum_never_meet(spark):
+    rows = [item(i, "Fed cuts rates by 25 bps", "The Federal Reserve cut rates.", f"Outlet {i}") for i in range(1, 5)]
+    arts = features(spark.createDataFrame(rows, ITEM)).withColumn("guild_id", F.col("article_id") % 2)
+    pairs = {(r["left_id"], r["right_id"]) for r in Y.similar_articles(arts, ScoreOptions()).collect()}
+    assert pairs == {(3, 1), (4, 2)}
+    graph = {r["article_id"]: r["story_id"] for r in G.story_graph(arts, ScoreOptions()).collect()}
+    assert graph == {1: 1, 2: 2, 3: 1, 4: 2}
+    own = arts.withColumns({"story_id": F.col("article_id"), "last_updated_us": F.col("published_us")})
+    merges = {tuple(sorted((r["small_id"], r["large_id"]))) for r in G.merge_scores(own, ScoreOptions(0.82)).collect()}
+    assert merges == {(1, 3), (2, 4)}
+
+
+def test_candidate_stories_equal_all_pairs(spark):
+    random.seed(8)
+    day = dt.datetime(2024, 1, 1)
+    arts = [(i, random.choice([1, 2]), random.choice(["a", "b"]), day + dt.timedelta(hours=random.randint(200, 260)) if i % 9 else None) for i in range(40)]
+    stories = [(i, random.choice([1, 2]), random.choice(["a", "b", "c"]), random.choice(["new", "merged", "stale"]), day + dt.timedelta(hours=random.randint(0, 300)) if i % 8 else None) for i in range(120)]
+    got = candidate_stories(
+        spark.createDataFrame(arts, "article_id long, guild_id int, forum string, published_at timestamp"),
+        spark.createDataFrame(stories, "story_id long, guild_id int, forum string, state string, last_updated_at timestamp"), hours=72, rows=7,
+    )
+    want = {(a[0], s[0]) for a in arts for s in stories if a[1:3] == s[1:3] and s[3] != "merged" and a[3] and s[4] and s[4] >= a[3] - dt.timedelta(hours=72)}
+    rows = [(r["article_id"], r["story_id"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_ratio_bound_is_never_below_the_ratio(one):
+    random.seed(2)
+    for _ in range(30):
+        a, b = (" ".join("".join(random.choice("abcde1.") for _ in range(random.randint(1, 5))) for _ in range(random.randint(1, 5))) for _ in range(2))
+        bound = one(Y.ratio_bound(Y.character_counts(F.lit(a)), Y.character_counts(F.lit(b))))[0]
+        assert bound >= SequenceMatcher(None, a, b).ratio() - 1e-12
 
 
 def test_blocked_join_equals_full_join(spark):
@@ -176,7 +231,7 @@ def test_blocked_join_equals_full_join(spark):
     want = set()
     for a in rows:
         for b in rows:
-            if a["forum"] != b["forum"] or (a["published_us"], a["article_id"]) <= (b["published_us"], b["article_id"]):
+            if (a["guild_id"], a["forum"]) != (b["guild_id"], b["forum"]) or (a["published_us"], a["article_id"]) <= (b["published_us"], b["article_id"]):
                 continue
             if a["published_us"] - b["published_us"] > options.window_hours * G.HOUR_US:
                 continue
