@@ -81,9 +81,13 @@ def casefold(col: Column) -> Column:
     return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
 
 
+def is_ascii(col: Column) -> Column:
+    return F.length(col) == F.octet_length(col)
+
+
 def ascii_words(col: Column) -> Column:
     """Turn non-ASCII letters and digits into ``_`` so ASCII word boundaries are Unicode-exact."""
-    return F.regexp_replace(col, NON_ASCII_WORD, "_")
+    return F.when(is_ascii(col), col).otherwise(F.regexp_replace(col, NON_ASCII_WORD, "_"))
 
 
 def cut(col: Column, limit: int) -> Column:
@@ -131,7 +135,8 @@ def _strip_markup(values: pd.Series) -> pd.Series:
 
 
 def needs_folding(col: Column) -> Column:
-    return col.rlike(f"[^{FOLD_STABLE}]")
+    """Whether compatibility folding may change the text; what is ASCII leaves before the long character class is tried."""
+    return ~is_ascii(col) & F.regexp_replace(col, r"[\x00-\x7F]+", "").rlike(f"[^{FOLD_STABLE}]")
 
 
 _SPACES = re.compile(SPACE + "+")
@@ -272,10 +277,11 @@ def contains_source_artifacts(col: Column) -> Column:
         return let(ascii_words(low), lambda asc: F.coalesce(_judge(low, asc), F.lit(False)))
 
     def _judge(low: Column, asc: Column) -> Column:
-        symbols = reduce(
+        some = asc.rlike(rf"\b(?:{'|'.join(fixed.MARKET_SYMBOLS)})\b")  # most texts hold none and stop here
+        symbols = F.when(some, reduce(
             lambda a, b: a + b,
             [asc.rlike(rf"\b{s}\b").cast("int") for s in fixed.MARKET_SYMBOLS],
-        )
+        )).otherwise(0)
         wire = asc.rlike(r"^by (?:reuters|the associated press|associated press|ap)\b")
         return (
             contains_any(low, fixed.PAGE_MARKERS)
@@ -310,24 +316,22 @@ def _opening_repeats(words: Column) -> Column:
 
 def _shingle_repeats(words: Column) -> Column:
     """Any run of five words three times: equal neighbours two apart once the runs are sorted."""
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 4),
-        lambda i: F.array_join(F.slice(words, i, 5), " "),
+    starts = F.sequence(F.lit(1), F.size(words) - 4)
+    # Three equal runs leave at least two fewer distinct hashes: most texts stop here.
+    some = let(
+        F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, 5))),
+        lambda h: F.size(F.array_distinct(h)) <= F.size(h) - 2,
     )
-    thrice = let(
-        runs,
-        lambda raw: F.when(
-            # Three equal runs leave at least two fewer distinct ones: most texts stop here.
-            F.size(F.array_distinct(raw)) <= F.size(raw) - 2,
-            let(
-                F.array_sort(raw),
-                lambda r: F.exists(
-                    F.sequence(F.lit(1), F.size(r) - 2),
-                    lambda i: F.get(r, i - 1) == F.get(r, i + 1),
-                ),
+    thrice = F.when(
+        some,
+        let(
+            F.array_sort(F.transform(starts, lambda i: F.array_join(F.slice(words, i, 5), " "))),
+            lambda r: F.exists(
+                F.sequence(F.lit(1), F.size(r) - 2),
+                lambda i: F.get(r, i - 1) == F.get(r, i + 1),
             ),
-        ).otherwise(F.lit(False)),
-    )
+        ),
+    ).otherwise(F.lit(False))
     return F.when(F.size(words) >= 18, thrice).otherwise(F.lit(False))
 
 

@@ -61,9 +61,9 @@ def normalize_items(items: DataFrame, fallback_publisher: str = "") -> DataFrame
         + [X.needs_folding(F.col(c)) for c in ("title", "summary")],
     )
     # One Arrow pass, fed with nulls except for rows with markup or foldable characters.
-    marked = raw.withColumn(
-        "_x", _texts(*[F.when(special, F.col(c)) for c in ("title", "summary", "publisher")])
-    )
+    marked = raw.withColumn("_special", special).withColumn(
+        "_x", _texts(*[F.when(F.col("_special"), F.col(c)) for c in ("title", "summary", "publisher")])
+    ).drop("_special")
     both = F.concat_ws(" ", F.col("title"), F.col("summary"))
     plain = marked.select(
         *rest,
