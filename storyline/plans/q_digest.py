@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,13 +14,17 @@ from storyline.functions.text import forum_title, story_update_detail
 from storyline.functions.urls import safe_external_link
 from storyline.operators import digest as E
 from storyline.operators import feed as S
+from storyline.operators import items as IT
 from storyline.operators import mutations as M
 from storyline.operators import ranking as R
 from storyline.plans import bindings as B
 from storyline.plans import oracle_text as O
 from storyline.plans import q_dedup as QD
 from storyline.plans import q_feed as Q
+from storyline.plans.q_outlets import LABEL
+from storyline.plans.q_text import BODY_CTE, LINES_CTE
 from storyline.plans.registry import query
+from storyline.session import cut_lineage, ensure_checkpoint_dir
 
 ST = Q.ST
 CAND_CTE = f"""{B.STORIES_CTE}, cnt AS (SELECT story_id, count(DISTINCT lower(publisher)) AS source_count, count(*) AS article_count FROM articles
@@ -155,19 +161,54 @@ def w8(spark, sf_dir):
 TITLE_SQL = f"coalesce(nullif(trim({O.plain('title', 100)}, ' .-|•'), ''), 'New feed item')"
 
 
+SITE, THREADS = "https://news.example", "https://threads.example"
+
+
+def analysed(spark, sf_dir):
+    """Stories with an analysis: the summary under headings, with cited links."""
+    s = F.col("story_id").cast("string")
+    copy = F.concat(F.lit("https://copy.example/s/"), s, F.lit("/?ref=x"))
+    text = F.concat(
+        F.col("summary"), F.lit("\n**Key facts**\n- "), F.col("title"), F.lit(" with a longer account of what followed\n- "), F.col("summary"),
+        F.lit("\n**Unclear or disputed**\n- It is unknown who was there.\n**Sources**\n- [Outlet](https://a.example/"), s, F.lit(")\n- [Own]("), copy,
+        F.lit(")\n- [Outlet](https://a.example/"), s, F.lit(")"),
+    )
+    return B.stories(spark, sf_dir).withColumn("analysis", text)
+
+
+STORY_TEXT_CTE = f"""analyses AS (SELECT story_id AS doc_id, title, CASE WHEN analysis_state = 'ready' THEN summary || chr(10) || '**Key facts**' || chr(10) || '- ' || title
+   || ' with a longer account of what followed' || chr(10) || '- ' || summary || chr(10) || '**Unclear or disputed**' || chr(10) || '- It is unknown who was there.' ELSE summary END AS body
+   FROM stories WHERE {Q.PUBLISHED}), {LINES_CTE}"""
+SECTIONS_CTE = """sections AS (SELECT doc_id AS story_id, trim(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE heading = 'Summary'), '')) AS summary,
+   coalesce(string_agg(c, '|' ORDER BY i) FILTER (WHERE heading = 'Key facts'), '') AS key_facts,
+   coalesce(string_agg(c, '|' ORDER BY i) FILTER (WHERE heading = 'Unclear or disputed'), '') AS uncertainty FROM kept GROUP BY doc_id)"""
+
+
+def full_digests(spark, sf_dir):
+    day = F.expr("INTERVAL 7 DAYS")
+    return unique_digests(spark, sf_dir).withColumns({
+        "title": F.lit("Top Stories"), "overview": F.concat(F.lit("The week in "), "forum"), "week_end": F.col("week_start") + day,
+    })
+
+
 @query(
     "v6_weekly_digest_item",
-    f"""{ST}, {MEMBERS_CTE}, n AS (SELECT story_id, count(*) AS source_count FROM articles GROUP BY story_id)
-    SELECT digest_id, CAST(position AS INTEGER) AS position, story_id, {TITLE_SQL} AS title, state, source_count, array_to_string(tags, '|') AS tags,
-      'https://news.example/story/' || CAST(story_id AS VARCHAR) || '/' AS web_url FROM live JOIN n USING (story_id)""",
+    f"""{ST}, {MEMBERS_CTE}, {STORY_TEXT_CTE}, {SECTIONS_CTE}, n AS (SELECT story_id, count(*) AS source_count FROM articles GROUP BY story_id)
+    SELECT digest_id, 'Top Stories' AS title, 'The week in ' || l.f AS overview, epoch_us(week_start) AS start_us, epoch_us(week_start + INTERVAL 7 DAY) AS end_us,
+      string_agg(story_id || '~' || {TITLE_SQL} || '~' || coalesce(nullif(x.summary, ''), l.summary) || '~' || coalesce(key_facts, '') || '~' || coalesce(uncertainty, '') || '~' || state || '~'
+        || source_count || '~' || array_to_string(tags, '|') || '~https://news.example/news/story/' || story_id || '/', chr(10) ORDER BY position) AS stories
+    FROM live l JOIN n USING (story_id) LEFT JOIN sections x USING (story_id) GROUP BY digest_id, l.f, week_start""",
 )
 def v6(spark, sf_dir):
     n = B.articles(spark, sf_dir).groupBy("story_id").agg(F.count(F.lit(1)).alias("source_count"))
-    mem = E.digest_members(unique_digests(spark, sf_dir), B.stories(spark, sf_dir)).join(n, "story_id")
-    return mem.select(
-        "digest_id", "position", "story_id", forum_title(F.col("title")).alias("title"), "state", "source_count",
-        F.array_join("tags", "|").alias("tags"),
-        F.concat(F.lit("https://news.example/story/"), F.col("story_id").cast("string"), F.lit("/")).alias("web_url"),
+    items = IT.digest_items(full_digests(spark, sf_dir), analysed(spark, sf_dir), n, SITE)
+    line = lambda x: F.concat_ws(
+        "~", x["id"].cast("string"), x["title"], x["summary"], F.array_join(x["key_facts"], "|"), F.array_join(x["uncertainty"], "|"), x["state"],
+        x["source_count"].cast("string"), F.array_join(x["tags"], "|"), x["web_url"],
+    )
+    return items.select(
+        "digest_id", "title", "overview", F.unix_micros("week_start").alias("start_us"), F.unix_micros("week_end").alias("end_us"),
+        F.array_join(F.transform("stories", line), "\n").alias("stories"),
     )
 
 
@@ -211,67 +252,91 @@ def v5_sources(spark, sf_dir):
     )
 
 
-def page_items(spark, sf_dir, limit=15):
-    """Everything one feed page shows, as rows (position, story_id, part, at, seq, item).
-
-    A part is the story itself, a source, an update or a relation; its JSON is in ``item`` and
-    (at, seq) orders it.  Rows instead of one nested value keep every source of a story with
-    millions of them, without gathering a story in one task.
-    """
-    st = B.stories(spark, sf_dir)
-    page = S.page(st.filter(S.is_published()), limit)
-    ids = page.select("story_id", "position")
-    pub, url = F.col("publisher"), F.col("url")
-
-    def source():
-        return (
-            publisher_label(pub, url).alias("publisher"), source_bias_bucket(pub, url).alias("bias"),
-            source_bias_score(pub, url).alias("bias_score"), forum_title(F.col("title")).alias("title"),
-            story_update_detail(F.col("title"), F.col("summary"), 1000).alias("description"), safe_external_link(url).alias("url"),
-        )
-
-    def part(df, name, at, seq, item):
-        return df.join(ids, "story_id").select(
-            "position", "story_id", F.lit(name).alias("part"), at.cast("bigint").alias("at"), seq.cast("bigint").alias("seq"),
-            F.to_json(item).alias("item"),
-        )
-
-    arts = QD.copies(spark, sf_dir).join(ids.select("story_id"), "story_id", "left_semi")
-    updates = QD.visible_rows(spark, sf_dir)
-    related = S.neighbours(Q.edges(spark, sf_dir), st)
-    head = F.struct(
-        F.col("story_id").alias("id"), forum_title(F.col("title")).alias("title"), "state", "tags",
-        C.iso_text(F.col("last_updated_at")).alias("updated_at"), "has_more", "next_cursor",
-    )
-    return (
-        part(page.drop("position"), "story", F.lit(0), F.lit(0), head)
-        .unionByName(part(S.unique_articles(arts), "source", F.unix_micros("published_at"), F.col("article_id"), F.struct(*source())))
-        .unionByName(part(updates, "update", F.unix_micros("recorded_at"), F.col("history_id"), F.struct(
-            F.when(F.col("kind") == "major_update", "major").otherwise("source").alias("kind"), "detail", *source())))
-        .unionByName(part(related, "related", F.unix_micros("last_updated_at"), F.col("related_id"), F.struct(F.col("related_id").alias("id"))))
+def items(spark, sf_dir, stories):
+    every = B.stories(spark, sf_dir)
+    return IT.story_items(stories, every, QD.copies(spark, sf_dir), QD.visible_rows(spark, sf_dir), Q.edges(spark, sf_dir), SITE, THREADS)
+
+
+ITEMS_TWIN = f"""{QD.VISIBLE_CTE.replace('firsts', 'first_ids')}, {STORY_TEXT_CTE}, {BODY_CTE}, {Q.EDGES_CTE}, {QD.COPIES_CTE[len(B.STORIES_CTE) + 2:]},
+ pub AS (SELECT * FROM stories WHERE {Q.PUBLISHED}),
+ f0 AS (SELECT article_id, title, summary, url, published_at, {O.plain('title', 500)} AS head, {O.plain('summary', 1000)} AS d, {LABEL[0]} FROM (SELECT *, publisher AS p, url AS u FROM copies)),
+ f1 AS (SELECT *, {LABEL[1]}, {O.squash(O.fold('d'))} AS low FROM f0),
+ f2 AS MATERIALIZED (SELECT *, {LABEL[2]}, {O.ascii_words('low')} AS asc_low, regexp_extract_all(low, '[a-z0-9]+') AS w FROM f1),
+ shown AS MATERIALIZED (SELECT article_id, {LABEL[3]} || '~' || bias || '~' || coalesce(bias_score::VARCHAR, '') || '~' || {TITLE_SQL} || '~'
+   || CASE WHEN d = '' OR {O.artifacts('low', 'asc_low', 'w')} OR {O.compared('d')} = {O.compared('head')} THEN '' ELSE d END || '~' || {O.safe_link('url')} || '~' || epoch_us(published_at) AS item
+   FROM f2 JOIN (SELECT article_id, {O.outlet_columns('publisher', 'url')} FROM copies) USING (article_id)),
+ src AS (SELECT story_id, string_agg(item, chr(10) ORDER BY published_at, article_id) AS sources, count(*) AS n_sources FROM unique_copies JOIN shown USING (article_id) GROUP BY story_id),
+ upd AS (SELECT v.story_id, string_agg(item || '~' || v.detail || '~' || CASE WHEN h.action = 'major_update' THEN 'major' ELSE 'source' END || '~' || epoch_us(h.created_at), chr(10) ORDER BY h.created_at, v.history_id) AS updates, count(*) AS n_updates
+   FROM visible v JOIN history h ON h.history_id = v.history_id JOIN shown s ON s.article_id = h.article_id GROUP BY v.story_id),
+ rel AS (SELECT b.story_id, string_agg(b.related_id || '~' || {TITLE_SQL} || '~' || coalesce('{{threads}}/' || guild_id || '/' || thread_id, '') || '~{{site}}/news/story/' || b.related_id || '/', chr(10) ORDER BY s.last_updated_at DESC, b.related_id DESC) AS related, count(*) AS n_related
+   FROM (SELECT low AS story_id, high AS related_id FROM edges UNION ALL SELECT high, low FROM edges) b JOIN stories s ON s.story_id = b.related_id WHERE s.state <> 'merged' GROUP BY b.story_id),
+ own AS (SELECT DISTINCT story_id FROM copies WHERE canonical_url <> ''),
+ item AS MATERIALIZED (SELECT p.story_id, {TITLE_SQL} AS title, coalesce(b.body, '') AS analysis,
+   CASE WHEN analysis_state = 'ready' THEN 'Outlet~https://a.example/' || p.story_id || CASE WHEN o.story_id IS NULL THEN chr(10) || 'Own~https://copy.example/s/' || p.story_id || '/?ref=x' ELSE '' END ELSE '' END AS cited,
+   analysis_state, state, array_to_string(tags, '|') AS tags, epoch_us(a.published_at) AS published_us, epoch_us(last_updated_at) AS updated_us, '{{threads}}/' || guild_id || '/' || thread_id AS thread_url,
+   '{{site}}/news/story/' || p.story_id || '/' AS web_url, x.item AS original, sources, coalesce(updates, '') AS updates, coalesce(related, '') AS related,
+   n_sources, coalesce(n_updates, 0) AS n_updates, coalesce(n_related, 0) AS n_related
+   FROM pub p LEFT JOIN bodies b ON b.doc_id = p.story_id JOIN shown x ON x.article_id = p.primary_article_id JOIN (SELECT article_id, published_at FROM items) a ON a.article_id = p.primary_article_id
+   LEFT JOIN src USING (story_id) LEFT JOIN upd USING (story_id) LEFT JOIN rel USING (story_id) LEFT JOIN own o ON o.story_id = p.story_id)"""
+ITEMS_TWIN = ITEMS_TWIN.replace("{site}", SITE).replace("{threads}", THREADS)
+
+
+def _flat_source(x):
+    return [
+        x["publisher"], x["bias"], F.coalesce(x["bias_score"].cast("string"), F.lit("")), x["title"], x["description"], x["url"],
+        F.unix_micros(x["published_at"]).cast("string"),
+    ]
+
+
+def flat_items(rows):
+    """An item's nested fields as texts, for comparison."""
+    lines = lambda c, f: F.array_join(F.transform(c, f), "\n").alias(c)
+    return rows.select(
+        "story_id", "title", "analysis", F.array_join(F.transform("analysis_sources", lambda x: F.concat_ws("~", x["publisher"], x["url"])), "\n").alias("cited"),
+        "analysis_state", "state", F.array_join("tags", "|").alias("tags"), F.unix_micros("published_at").alias("published_us"), F.unix_micros("updated_at").alias("updated_us"),
+        "thread_url", "web_url", F.concat_ws("~", *_flat_source(F.col("original"))).alias("original"), lines("sources", lambda x: F.concat_ws("~", *_flat_source(x))),
+        lines("updates", lambda x: F.concat_ws("~", *_flat_source(x), x["detail"], x["kind"], F.unix_micros(x["recorded_at"]).cast("string"))),
+        lines("related", lambda x: F.concat_ws("~", x["id"].cast("string"), x["title"], F.coalesce(x["thread_url"], F.lit("")), x["web_url"])),
+        "n_sources", "n_updates", "n_related",
     )
 
 
-@query("v5_story_items")
+@query("v5_story_items", f"{ITEMS_TWIN} SELECT * FROM item")
 def v5(spark, sf_dir):
-    return page_items(spark, sf_dir)
+    """The whole item of every published story."""
+    return flat_items(items(spark, sf_dir, analysed(spark, sf_dir).filter(S.is_published())))
 
 
 @query(
     "s10_story_feed_sink",
-    f"""{ST}, p AS (SELECT * FROM stories WHERE {Q.PUBLISHED}), t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM p) GROUP BY tag)
-    SELECT '{{"version":7,"total":' || CAST((SELECT count(*) FROM p) AS VARCHAR) || ',"has_more":' || CASE WHEN (SELECT count(*) FROM p) > 15 THEN 'true' ELSE 'false' END
-      || ',"tag_counts":[' || (SELECT string_agg('{{"tag":"' || tag || '","stories":' || CAST(n AS VARCHAR) || '}}', ',' ORDER BY tag) FROM t) || '],"story_ids":['
-      || (SELECT string_agg(CAST(story_id AS VARCHAR), ',' ORDER BY last_updated_at DESC, story_id DESC) FROM (SELECT * FROM p ORDER BY last_updated_at DESC, story_id DESC LIMIT 15)) || ']}}' AS document""",
+    f"""{ITEMS_TWIN}, page AS (SELECT *, row_number() OVER (ORDER BY last_updated_at DESC, story_id DESC) AS position FROM pub ORDER BY position LIMIT 15),
+    t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM pub) GROUP BY tag), balance AS (SELECT outlet, bias, count(*) AS appearances FROM (SELECT DISTINCT story_id, outlet, bias FROM (SELECT story_id, {O.outlet_columns('publisher', 'url')} FROM articles)
+      JOIN (SELECT story_id FROM pub) USING (story_id)) GROUP BY ALL)
+    SELECT 7 AS version, (SELECT count(*) FROM pub) AS total, (SELECT count(*) FROM pub) > 15 AS has_more,
+      (SELECT string_agg(tag || '=' || n, '|' ORDER BY tag) FROM t) AS tag_counts,
+      (SELECT string_agg(outlet || '~' || bias || '~' || appearances, chr(10) ORDER BY appearances DESC, outlet, bias) FROM balance) AS outlets,
+      (SELECT coalesce(sum(appearances) FILTER (WHERE bias IN ('left', 'center-left', 'center', 'right', 'center-right')), 0)::BIGINT FROM balance) AS rated,
+      (SELECT string_agg(item.story_id || '~' || item.title || '~' || item.analysis || '~' || item.sources || '~' || item.updates, chr(10) ORDER BY position) FROM page JOIN item USING (story_id)) AS stories""",
 )
 def s10(spark, sf_dir):
-    """The feed document as JSON (one row): totals, tag counts and the page."""
-    live = B.stories(spark, sf_dir).filter(S.is_published())
-    total = live.agg(F.count(F.lit(1)).alias("total"))
-    tags = S.tag_counts(live).agg(F.array_sort(F.collect_list(F.struct("tag", "stories"))).alias("tag_counts"))
-    page = S.page(live, 15).agg(
-        F.bool_or("has_more").alias("has_more"),
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "story_id"))), lambda x: x["story_id"]).alias("story_ids"),
-    )
-    doc = F.struct(F.lit(7).alias("version"), "total", "has_more", "tag_counts", "story_ids")
-    return total.crossJoin(tags).crossJoin(page).select(F.to_json(doc).alias("document"))
+    """The feed document with its page of 15 items, written as JSON and read again."""
+    live = analysed(spark, sf_dir).filter(S.is_published())
+    page = cut_lineage(S.page(live, 15))
+    latest = E.latest_digests(unique_digests(spark, sf_dir), B.stories(spark, sf_dir)).orderBy(F.desc("week_start"), F.desc("digest_id")).limit(1)
+    n = B.articles(spark, sf_dir).groupBy("story_id").agg(F.count(F.lit(1)).alias("source_count"))
+    digest = IT.digest_items(full_digests(spark, sf_dir).join(F.broadcast(latest.select("digest_id")), "digest_id"), analysed(spark, sf_dir), n, SITE)
+    doc = IT.feed_document(page, items(spark, sf_dir, page.select(*live.columns)), live, Q.balance(spark, sf_dir), digest, Q.now())
+    folder = f"{ensure_checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    doc.coalesce(1).write.json(folder)
+    back = spark.read.schema(doc.schema).json(folder)
+    flat = flat_items(back.select(F.posexplode("stories").alias("at", "s")).select("s.*", *[F.lit(0).alias(c) for c in ("n_sources", "n_updates", "n_related")], "at"))
+    told = F.concat_ws("~", F.col("story_id").cast("string"), "title", "analysis", "sources", "updates")
+    order = back.select(F.posexplode("stories").alias("at", "s")).select("at", F.col("s.story_id").alias("story_id"))
+    stories = flat.join(order, "story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", told.alias("t")))), lambda x: x["t"]), "\n").alias("stories"))
+    b = F.col("source_balance")
+    return back.select(
+        F.col("version").cast("int").alias("version"), "total", "has_more",
+        F.array_join(F.transform("tag_counts", lambda x: F.concat_ws("=", x["tag"], x["stories"].cast("string"))), "|").alias("tag_counts"),
+        F.array_join(F.transform(b["outlets"], lambda x: F.concat_ws("~", x["outlet"], x["bias"], x["appearances"].cast("string"))), "\n").alias("outlets"),
+        b["rated_appearances"].alias("rated"),
+    ).crossJoin(stories)

@@ -31,19 +31,27 @@ def outlets(spark, sf_dir):
 LABELS = ("", "site:reuters.com", "www.apnews.com", "Google News", "'Quoted'", "CNN.com")
 
 
+def label_sql(publisher: str, url: str) -> tuple[str, str, str, str]:
+    """Steps to the label of a publisher: columns for three inner selects, and the last expression."""
+    return (
+        f"""trim({O.plain(publisher, 100)}, {O.sql_text(chr(32) + chr(34) + chr(39))}) AS l0, regexp_replace({O.host(url)}, '^www\\.', '') AS h""",
+        "CASE WHEN regexp_extract(l0, '(?i)site:([a-z0-9.-]+)', 1) <> '' THEN regexp_extract(l0, '(?i)site:([a-z0-9.-]+)', 1) ELSE l0 END AS l",
+        f"""regexp_replace({O.fold('l')}, '^www\\.', '') AS c, MAP {{{', '.join(f"{O.sql_text(k)}: {O.sql_text(v)}" for k, v in fixed.KNOWN_LABELS.items())}}} AS known""",
+        """CASE WHEN known[c] IS NOT NULL THEN known[c] WHEN contains(c, 'google news') AND h = 'news.google.com' THEN 'Google News'
+      WHEN l <> '' THEN l ELSE coalesce(known[h], nullif(h, ''), 'Source') END""",
+    )
+
+
+LABEL = label_sql("p", "u")
+
+
 @query(
     "p15_publisher_label",
     f"""WITH {B.ITEMS_CTE}, v AS (SELECT article_id,
       CASE WHEN article_id % 2 = 0 THEN publisher ELSE {B.sql_pick(LABELS, 'article_id // 2')} END AS p,
       CASE WHEN article_id % 7 = 0 THEN 'https://news.google.com/x' ELSE url END AS u FROM items),
-    w AS (SELECT *, trim({O.plain('p', 100)}, ' "''') AS l0, regexp_replace({O.host('u')}, '^www\\.', '') AS h FROM v),
-    x AS (SELECT *, CASE WHEN regexp_extract(l0, '(?i)site:([a-z0-9.-]+)', 1) <> ''
-      THEN regexp_extract(l0, '(?i)site:([a-z0-9.-]+)', 1) ELSE l0 END AS l FROM w),
-    y AS (SELECT *, regexp_replace({O.fold('l')}, '^www\\.', '') AS c,
-      MAP {{{', '.join(f"{O.sql_text(k)}: {O.sql_text(v)}" for k, v in fixed.KNOWN_LABELS.items())}}} AS known FROM x)
-    SELECT article_id, CASE WHEN known[c] IS NOT NULL THEN known[c]
-      WHEN contains(c, 'google news') AND h = 'news.google.com' THEN 'Google News'
-      WHEN l <> '' THEN l ELSE coalesce(known[h], nullif(h, ''), 'Source') END AS label FROM y""",
+    w AS (SELECT *, {LABEL[0]} FROM v), x AS (SELECT *, {LABEL[1]} FROM w), y AS (SELECT *, {LABEL[2]} FROM x)
+    SELECT article_id, {LABEL[3]} AS label FROM y""",
 )
 def p15(spark, sf_dir):
     i = F.col("article_id")

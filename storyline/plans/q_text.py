@@ -280,8 +280,7 @@ ANALYSES_CTE = """analyses AS (SELECT doc_id, substring(first, 1, 40) AS title,
    || chr(10) || '**Unclear or disputed**' || chr(10) || 'It is not known who was there.' AS body
    FROM (SELECT *, string_split(text, chr(10))[1] AS first FROM documents))"""
 # The same selection, relationally: lines, governing headings, pairwise comparison with earlier lines.
-KEPT_CTE = f"""{ANALYSES_CTE},
- lines AS (SELECT doc_id, title, generate_subscripts(ls, 1) AS i, unnest(ls) AS s FROM (
+LINES_CTE = f"""lines AS (SELECT doc_id, title, generate_subscripts(ls, 1) AS i, unnest(ls) AS s FROM (
    SELECT doc_id, title, list_transform(string_split(body, chr(10)),
      lambda x: regexp_replace(x, '^{O.RE2_SPACE}+|{O.RE2_SPACE}+$', '', 'g')) AS ls FROM analyses)),
  named AS (SELECT *, CASE lower(regexp_replace(replace(s, '*', ''), ':$', ''))
@@ -306,6 +305,7 @@ KEPT_CTE = f"""{ANALYSES_CTE},
    FROM worded w LEFT JOIN novelty n USING (doc_id, i) LEFT JOIN repeated r ON r.doc_id = w.doc_id AND r.i = w.i
    WHERE w.t <> '' AND r.i IS NULL AND NOT (w.heading <> 'Summary' AND coalesce(n.n, 0) >= 4
      AND n.n - n.novel >= 3 AND (n.novel <= 2 OR n.novel <= 0.18 * n.n)))"""
+KEPT_CTE = f"{ANALYSES_CTE},\n {LINES_CTE}"
 
 
 def kept(spark, sf_dir):
@@ -341,14 +341,14 @@ def p24_sources(spark, sf_dir):
     return A.analysis_sources(analyses(spark, sf_dir), "doc_id", "analysis")
 
 
-@query(
-    "p25_deduplicate_sections",
-    f"""WITH {KEPT_CTE}, opened AS (SELECT *, heading IS DISTINCT FROM lag(heading) OVER (PARTITION BY doc_id ORDER BY i) AS opens,
-      row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM kept)
-    SELECT doc_id, string_agg(CASE WHEN opens THEN CASE WHEN n = 1 THEN '' ELSE chr(10) || chr(10) END
+BODY_CTE = """opened AS (SELECT *, heading IS DISTINCT FROM lag(heading) OVER (PARTITION BY doc_id ORDER BY i) AS opens,
+      row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM kept),
+ bodies AS (SELECT doc_id, string_agg(CASE WHEN opens THEN CASE WHEN n = 1 THEN '' ELSE chr(10) || chr(10) END
       || '**' || heading || '**' || chr(10) || chr(10) || line ELSE chr(10) || line END, '' ORDER BY i) AS body
-    FROM opened GROUP BY doc_id""",
-)
+    FROM opened GROUP BY doc_id)"""
+
+
+@query("p25_deduplicate_sections", f"WITH {KEPT_CTE}, {BODY_CTE} SELECT doc_id, body FROM bodies")
 def p25(spark, sf_dir):
     return kept(spark, sf_dir).select("doc_id", A.analysis_body(F.col("kept")).alias("body"))
 
