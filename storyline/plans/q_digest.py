@@ -327,8 +327,9 @@ def s10(spark, sf_dir):
     digest = IT.digest_items(full_digests(spark, sf_dir).join(F.broadcast(latest.select("digest_id")), "digest_id"), analysed(spark, sf_dir), n, SITE)
     doc = IT.feed_document(page, items(spark, sf_dir, page.select(*live.columns)), live, Q.balance(spark, sf_dir), digest, Q.now())
     folder = f"{ensure_checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
-    doc.coalesce(1).write.json(folder)
-    back = spark.read.schema(doc.schema).json(folder)
+    micros = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    doc.coalesce(1).write.options(**micros).json(folder)
+    back = spark.read.schema(doc.schema).options(**micros).json(folder)
     flat = flat_items(back.select(F.posexplode("stories").alias("at", "s")).select("s.*", *[F.lit(0).alias(c) for c in ("n_sources", "n_updates", "n_related")], "at"))
     told = F.concat_ws("~", F.col("story_id").cast("string"), "title", "analysis", "sources", "updates")
     order = back.select(F.posexplode("stories").alias("at", "s")).select("at", F.col("s.story_id").alias("story_id"))
