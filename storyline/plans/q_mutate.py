@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storyline.functions import fixed
 from storyline.operators import feed as S
 from storyline.operators import mutations as M
+from storyline.operators.attach import attach_fold
 from storyline.plans import bindings as B
 from storyline.plans import oracle_text as O
 from storyline.plans import q_feed as Q
@@ -51,23 +52,40 @@ def u1(spark, sf_dir):
     return M.upsert(base, new, ["guild_id"], ["model", "at"]).select("guild_id", "model", F.unix_micros("at").alias("updated_us"))
 
 
+def attached(spark, sf_dir):
+    """Thirty articles a story, with tags and significance by rules of their id."""
+    i = F.col("article_id")
+    tags = F.array_distinct(F.concat(
+        F.when(i % 41 == 0, F.array(F.lit("Breaking"))).otherwise(F.array().cast("array<string>")), F.array(B.pick(fixed.TAG_CATALOG, i), B.pick(fixed.TAG_CATALOG, F.floor(i / 2) * 3)),
+    ))
+    return norm(spark, sf_dir).withColumns({
+        "story_id": F.floor(i / 30), "priority": (i % 4).cast("int"), "tags": tags, "significant": i % 4 == 1,
+    })
+
+
 @query(
     "u2_attach_fold",
-    f"""WITH {B.STORIES_CTE}, {O.norm_cte()}, {Q.rollup_sql('norm')},
-    p AS (SELECT story_id, article_id, title FROM norm JOIN (SELECT article_id, CAST(article_id % 4 AS INTEGER) AS priority FROM items) USING (article_id)
-      QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY priority DESC, published_at, article_id) = 1)
-    SELECT story_id, article_id AS primary_article_id, p.title, epoch_us(last_published_at) AS last_us, array_to_string(keywords, '|') AS keywords,
-      array_to_string(entities, '|') AS entities FROM rollup JOIN p USING (story_id)""",
+    f"""{B.STORIES_CTE.replace('WITH ', 'WITH RECURSIVE ', 1) if B.STORIES_CTE.startswith('WITH ') else 'WITH RECURSIVE ' + B.STORIES_CTE}, {O.norm_cte()}, a AS MATERIALIZED (SELECT * REPLACE (article_id // 30 AS story_id), CAST(article_id % 4 AS INTEGER) AS priority, article_id % 4 = 1 AS significant,
+      list_filter([CASE WHEN article_id % 41 = 0 THEN 'Breaking' END, {B.sql_pick(fixed.TAG_CATALOG, 'article_id')}, CASE WHEN {B.sql_pick(fixed.TAG_CATALOG, 'article_id')} <> {B.sql_pick(fixed.TAG_CATALOG, 'article_id // 2 * 3')}
+        THEN {B.sql_pick(fixed.TAG_CATALOG, 'article_id // 2 * 3')} END], lambda x: x IS NOT NULL) AS raw FROM norm),
+    u0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY published_at, article_id) AS n FROM a),
+    u AS MATERIALIZED (SELECT *, CASE WHEN len(raw) > 1 AND raw[1] = raw[2] THEN list_concat([raw[1]], raw[3:]) WHEN len(raw) > 2 AND raw[1] = raw[3] THEN raw[1:2] ELSE raw END AS tags FROM u0),
+    walk AS (SELECT story_id, n, CASE WHEN list_contains(tags, 'Breaking') THEN 'breaking' ELSE 'new' END AS state, list_concat(CASE WHEN list_contains(tags, 'Breaking') THEN ['Breaking'] ELSE [] END, list_filter(tags, lambda t: t <> 'Breaking' OR NOT list_contains(tags, 'Breaking')))[1:5] AS list FROM u WHERE n = 1
+      UNION ALL SELECT story_id, n, state, list_concat(mine, list_filter(list, lambda t: lower(t) NOT IN ('breaking', 'developing') AND NOT list_contains(mine, t)))[1:5] FROM (
+        SELECT story_id, n, state, list, list_concat(lead, list_filter(tags, lambda t: NOT list_contains(lead, t)))[1:5] AS mine FROM (
+          SELECT u.story_id, u.n, w.list, u.tags, CASE WHEN w.state = 'breaking' THEN 'breaking' WHEN u.significant THEN 'developing' ELSE 'updated' END AS state,
+            CASE WHEN w.state = 'breaking' THEN ['Breaking'] WHEN u.significant THEN ['Developing'] ELSE [] END AS lead FROM walk w JOIN u ON u.story_id = w.story_id AND u.n = w.n + 1))),
+    ends AS (SELECT story_id, arg_max(state, n) AS state, arg_max(list, n) AS list, max(n) AS articles FROM walk GROUP BY story_id),
+    p AS (SELECT story_id, article_id, title, priority FROM u QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY priority DESC, published_at, article_id) = 1),
+    f AS (SELECT story_id, epoch_us(max(published_at)) AS last_us, array_to_string(list_sort(list_distinct(flatten(list(keywords))))[1:24], '|') AS keywords, array_to_string(list_sort(list_distinct(flatten(list(entities)))), '|') AS entities FROM u GROUP BY story_id)
+    SELECT story_id, ends.state, array_to_string(list, '|') AS tags, p.article_id AS primary_article_id, p.title, p.priority AS primary_priority, articles, last_us, keywords, entities
+    FROM ends JOIN p USING (story_id) JOIN f USING (story_id)""",
 )
 def u2(spark, sf_dir):
-    """The end state of folding articles into stories: unions, latest date, best primary."""
-    arts = norm(spark, sf_dir).withColumn("priority", (F.col("article_id") % 4).cast("int"))
-    features = M.feature_rollup(arts)
-    rank = F.struct(F.col("priority"), -F.unix_micros("published_at"), -F.col("article_id"))
-    best = arts.groupBy("story_id").agg(F.max_by(F.struct("article_id", "title"), rank).alias("p"))
-    return features.join(best, "story_id").select(
-        "story_id", F.col("p.article_id").alias("primary_article_id"), "p.title", F.unix_micros("last_published_at").alias("last_us"),
-        F.array_join("keywords", "|").alias("keywords"), F.array_join("entities", "|").alias("entities"),
+    """Stories as their articles, attached one by one, have made them: tags and state too."""
+    return attach_fold(attached(spark, sf_dir)).select(
+        "story_id", "state", F.array_join("tags", "|").alias("tags"), "primary_article_id", "title", "primary_priority", "articles",
+        F.unix_micros("last_published_at").alias("last_us"), F.array_join("keywords", "|").alias("keywords"), F.array_join("entities", "|").alias("entities"),
     )
 
 

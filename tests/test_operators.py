@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from storyline.operators import classify as K
 from storyline.operators.assignment import assign_in_slices
+from storyline.operators.attach import attach_fold
 from storyline.operators.candidates import candidate_stories
 from storyline.operators import clustering as G
 from storyline.operators import dedup as D
@@ -347,3 +348,32 @@ def test_feed_shapes(spark):
     assert (c["author"], c["summary"], c["position"]) == ("Lee", "Short", 1)
     assert b["published_at"] == dt.datetime(2024, 1, 6, 10) and (e["external_id"], e["author"]) == ("https://x.example/d", "D")
     assert {r["document_id"] for r in rss.rejected_feeds(df).collect()} == {"bad", "text"}
+
+
+def test_attach_fold_equals_attaching_one_by_one(spark):
+    random.seed(11)
+    catalog = ["World", "Economy", "Sports", "Science", "Climate", "Health", "Law"]
+    rows = []
+    for i in range(400):
+        story = 1 if i % 2 else random.randint(2, 25)  # one story has half of all articles
+        tags = random.sample(catalog, random.choice([0, 1, 1, 2, 5])) + (["breaking"] if random.random() < 0.1 else [])
+        rows.append((story, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=random.randint(0, 50)) if i % 17 else None, random.randint(0, 3), tags, random.random() < 0.4, f"t{i}", "s", [f"e{i % 5}"], [f"k{i}"], [], []))
+    schema = "story_id long, article_id long, published_at timestamp, priority int, tags array<string>, significant boolean, title string, summary string, entities array<string>, keywords array<string>, numbers array<string>, event_terms array<string>"
+    got = {r["story_id"]: r for r in attach_fold(spark.createDataFrame(rows, schema).repartition(5)).collect()}
+    for story in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == story), key=lambda r: (r[2] is not None, r[2] or dt.datetime.min, r[1]))
+        state = tags = None
+        primary = mine[0]
+        for r in mine:
+            own = list(dict.fromkeys(r[4]))
+            if state is None:
+                state = "breaking" if "breaking" in own else "new"
+            elif state != "breaking":
+                state = "developing" if r[5] else "updated"
+            label = {"breaking": ["Breaking"], "developing": ["Developing"]}.get(state, [])
+            own = list(dict.fromkeys(label + own))[:5]
+            prior = [t for t in tags or [] if t.lower() not in ("breaking", "developing")]
+            tags = list(dict.fromkeys(own + prior))[:5]
+            primary = r if r[3] > primary[3] else primary
+        assert (got[story]["state"], got[story]["tags"], got[story]["articles"]) == (state, tags, len(mine)), story
+        assert got[story]["primary_article_id"] == primary[1]
