@@ -313,7 +313,7 @@ def g11(spark, sf_dir):
         F.lit("published").alias("publication_state"), (F.col("story_id") + 1000).alias("thread_id"), F.lit(None).cast("timestamp").alias("cleared_at"),
     )
     none = stories.select("story_id").limit(0)
-    _, done = G.maintain(arts, stories, none, FULL, 0.82, 0.45, 50, Q.hours_ago(72), Q.now())
+    _, _, done = G.maintain(arts, stories, none, FULL, 0.82, 0.45, 50, Q.hours_ago(72), Q.now())
     return done
 
 

@@ -377,3 +377,54 @@ def test_attach_fold_equals_attaching_one_by_one(spark):
             primary = r if r[3] > primary[3] else primary
         assert (got[story]["state"], got[story]["tags"], got[story]["articles"]) == (state, tags, len(mine)), story
         assert got[story]["primary_article_id"] == primary[1]
+
+
+def test_maintenance_equals_recomputing_everything_after_each_step(spark):
+    """Against a pass that scores all selected stories anew for each of its five steps."""
+    random.seed(21)
+    heads = ["Fed cuts rates by 25 bps", "Storm floods coastal towns", "NASA launches a spacecraft to the moon", "Chip maker unveils new processor", "Senate approves the budget bill"]
+    bodies = ["The Federal Reserve cut rates.", "Harbours in Hamburg closed.", "The rocket left Florida.", "The Berlin firm showed silicon.", "Senators in Washington voted."]
+    rows, of = [], {}
+    for i in range(1, 37):
+        k = i % 5
+        rows.append(item(i, heads[k] + (" again" if i % 7 == 0 else ""), bodies[k], f"Outlet {i}", minutes=i))
+        of[i] = 100 + (i // 12) * 5 + k if i % 11 else 100 + (i // 12) * 5 + (k + 1) % 5  # some sit in another's story
+    arts = features(spark.createDataFrame(rows, ITEM)).withColumn("story_id", F.create_map(*[F.lit(x).cast("long") for kv in of.items() for x in kv])[F.col("article_id")])
+    arts = G.cut_lineage(arts)
+    stories = arts.groupBy("story_id").agg(F.timestamp_micros(F.max("published_us")).alias("last_updated_at")).select(
+        "story_id", "last_updated_at", F.lit("updated").alias("state"), F.lit("published").alias("publication_state"),
+        F.when(F.col("story_id") % 2 == 0, F.col("story_id")).alias("thread_id"), F.lit(None).cast("timestamp").alias("cleared_at"),
+    )
+    stories = G.cut_lineage(stories)
+    now, since = F.lit("2024-02-01").cast("timestamp"), F.lit("2023-01-01").cast("timestamp")
+    options, protected = ScoreOptions(), stories.filter("story_id = 104").select("story_id")
+    got_articles, got_stories, done = G.maintain(arts, stories, protected, options, 0.82, 0.45, 50, since, now)
+
+    where, meta = dict(of), {r["story_id"]: (r["last_updated_at"], r["thread_id"] is not None) for r in stories.collect()}
+    log, moment = [], dt.datetime(2024, 2, 1)
+    while len(log) < 5:
+        pick = sorted((s for s in meta if s != 104), key=lambda s: (meta[s][0], s), reverse=True)
+        here = spark.createDataFrame(list(where.items()), "article_id long, story_id long").filter(F.col("story_id").isin(pick))
+        mine = arts.drop("story_id").join(here, "article_id")
+        odd = {r["story_id"]: r for r in G.outliers(mine, 0.45, options).collect()} if not any(x[0] == "merge" for x in log) else {}
+        hit = next((odd[s] for s in pick if s in odd), None)
+        if hit:
+            new = -hit["article_id"] - 1
+            where[hit["article_id"]] = new
+            meta[new], meta[hit["story_id"]] = (moment, False), (moment, meta[hit["story_id"]][1])
+            log.append(("split", hit["story_id"], new, hit["article_id"]))
+            continue
+        when = spark.createDataFrame([(s, meta[s][0], 1 if meta[s][1] else None) for s in pick], "story_id long, last_updated_at timestamp, thread_id int")
+        mine = mine.join(when.select("story_id", F.unix_micros("last_updated_at").alias("last_updated_us")), "story_id")
+        counts = mine.groupBy("story_id").agg(F.count("*").alias("n"))
+        best = G.best_merge(G.merge_scores(mine, ScoreOptions(0.82)), when, counts).first()
+        if best is None:
+            break
+        where = {a: best["target_id"] if s == best["source_id"] else s for a, s in where.items()}
+        meta.pop(best["source_id"])
+        meta[best["target_id"]] = (moment, meta[best["target_id"]][1])
+        log.append(("merge", best["target_id"], best["source_id"], None))
+    assert [tuple(r)[:4] for r in done.collect()] == log and {x[0] for x in log} == {"split", "merge"}
+    assert {r["article_id"]: r["story_id"] for r in got_articles.collect()} == where
+    told = {r["story_id"]: r["state"] for r in got_stories.collect()}
+    assert {s for s, state in told.items() if state != "merged"} == set(meta)
