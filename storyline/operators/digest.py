@@ -10,6 +10,7 @@ from storyline.functions import analysis as A
 from storyline.functions import clock as C
 from storyline.functions.text import excerpt_of_plain, tidy
 from storyline.operators import feed as S
+from storyline.operators.redundancy import with_kept_lines
 
 
 def digest_due(summaries: DataFrame, now: Column, scheduled: Column) -> DataFrame:
@@ -140,11 +141,10 @@ def digest_cards(members: DataFrame, overview_chars: int, budget: int = 5900) ->
     )
 
 
-def analysis_of(stories: DataFrame) -> DataFrame:
-    """Sections of the ready analysis, else of the summary."""
+def analysis_of(stories: DataFrame, key: str = "story_id") -> DataFrame:
+    """Sections of the ready analysis, else of the summary; ``key`` names a row."""
     text = F.when(
         (F.col("analysis_state") == "ready") & F.col("analysis").isNotNull(), F.col("analysis")
     ).otherwise(F.col("summary"))
-    return stories.withColumn("kept", A.kept_lines(text, F.col("title"))).withColumn(
-        "sections", A.analysis_sections(F.col("kept"))
-    )
+    read = with_kept_lines(stories.withColumn("_text", text), key, "_text", "title").drop("_text")
+    return read.withColumn("sections", A.analysis_sections(F.col("kept")))

@@ -19,6 +19,7 @@ from storyline.functions.urls import safe_external_link
 from storyline.operators import dedup as D
 from storyline.operators import digest as E
 from storyline.operators import feed as S
+from storyline.operators.redundancy import with_kept_lines
 from storyline.session import cut_lineage
 
 #: Entries of each list of a story.
@@ -82,13 +83,13 @@ def story_items(
     )
     near = _listed(near, [F.desc("last_updated_at"), F.desc("related_id")], relation, "related", most)
     text = F.when((F.col("analysis_state") == "ready") & (F.coalesce("analysis", F.lit("")) != ""), F.col("analysis")).otherwise(F.col("summary"))
-    shown = stories.withColumn("_text", text)
+    shown = cut_lineage(with_kept_lines(stories.withColumn("_text", text), "story_id", "_text", "title"))
     cited = D.subtract_article_urls(A.analysis_sources(shown, "story_id", "_text"), arts)
     cited = cited.groupBy("story_id").agg(  # twelve at most
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "label", "url"))), lambda x: F.struct(x["label"].alias("publisher"), x["url"].alias("url"))).alias("analysis_sources")
     )
     head = shown.select(
-        "story_id", forum_title(F.col("title")).alias("title"), A.analysis_body(A.kept_lines(F.col("_text"), F.col("title"))).alias("analysis"),
+        "story_id", forum_title(F.col("title")).alias("title"), A.analysis_body(F.col("kept")).alias("analysis"),
         "analysis_state", "state", "tags", "first_published_at", F.col("last_updated_at").alias("updated_at"),
         _thread(threads, F.col("guild_id"), F.col("thread_id")).alias("thread_url"), story_url(site, F.col("story_id")).alias("web_url"),
     )
@@ -106,7 +107,9 @@ def digest_items(digests: DataFrame, stories: DataFrame, counts: DataFrame, site
 
     ``stories`` needs analysis and analysis_state too; ``counts`` are (story_id, source_count). A digest has a dozen stories.
     """
-    members = E.analysis_of(E.digest_members(digests, stories).join(counts, "story_id", "left"))
+    shown = cut_lineage(E.digest_members(digests, stories).select("digest_id", "position", "story_id"))  # a story can be in several digests
+    told = E.analysis_of(stories.join(shown.select("story_id").distinct(), "story_id", "left_semi"))
+    members = shown.join(told, "story_id").join(counts, "story_id", "left")
     sections = F.col("sections")
     story = F.struct(
         "position", F.col("story_id").alias("id"), forum_title(F.col("title")).alias("title"),

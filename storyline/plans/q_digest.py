@@ -217,8 +217,9 @@ def v7(spark, sf_dir):
     n = B.articles(spark, sf_dir).groupBy("story_id").agg(F.count(F.lit(1)).alias("source_count"))
     st = B.stories(spark, sf_dir)
     text = F.concat(F.col("summary"), F.lit("\n**Key facts**\n- "), F.col("summary"), F.lit("\n**Unclear or disputed**\n- It is unknown."))
-    mem = E.digest_members(unique_digests(spark, sf_dir), st).withColumn("analysis", text)
-    ready = E.analysis_of(mem.join(n, "story_id")).select(
+    told = E.analysis_of(st.withColumn("analysis", text))
+    mem = E.digest_members(unique_digests(spark, sf_dir), st).select("digest_id", "position", "story_id").join(told, "story_id").join(n, "story_id")
+    ready = mem.select(
         "digest_id", (F.col("position") + 1).alias("position"), "story_id", forum_title(F.col("title")).alias("title_line"),
         F.coalesce(F.nullif(F.col("sections.summary"), F.lit("")), F.col("summary")).alias("summary"),
         F.col("sections.key_facts").alias("facts"), F.col("sections.uncertainty").alias("uncertainty"), "tags", "state", "source_count",

@@ -12,6 +12,7 @@ from storyline.functions import fixed
 from storyline.functions import text as X
 from storyline.functions import urls as U
 from storyline.operators.normalize import normalize_items
+from storyline.operators.redundancy import with_kept_lines
 from storyline.plans import bindings as B
 from storyline.plans import oracle_text as O
 from storyline.plans.registry import query
@@ -309,9 +310,7 @@ KEPT_CTE = f"{ANALYSES_CTE},\n {LINES_CTE}"
 
 
 def kept(spark, sf_dir):
-    return analyses(spark, sf_dir).select(
-        "doc_id", "title", A.kept_lines(F.col("analysis"), F.col("title")).alias("kept")
-    )
+    return with_kept_lines(analyses(spark, sf_dir), "doc_id", "analysis", "title").select("doc_id", "title", "kept")
 
 
 @query(

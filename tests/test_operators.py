@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from storyline.functions import analysis as A
 from storyline.operators import classify as K
 from storyline.operators.assignment import assign_in_slices
 from storyline.operators.attach import attach_fold
@@ -19,6 +20,7 @@ from storyline.operators import ranking as R
 from storyline.operators import similarity as Y
 from storyline.operators import validation as V
 from storyline.operators.normalize import normalize_items
+from storyline.operators.redundancy import with_kept_lines
 from storyline.operators.similarity import ScoreOptions
 from storyline.plans import load_all, q_cluster
 from storyline.sources import pages as P
@@ -428,3 +430,28 @@ def test_maintenance_equals_recomputing_everything_after_each_step(spark):
     assert {r["article_id"]: r["story_id"] for r in got_articles.collect()} == where
     told = {r["story_id"]: r["state"] for r in got_stories.collect()}
     assert {s for s, state in told.items() if state != "merged"} == set(meta)
+
+
+def test_lines_by_index_equal_lines_one_by_one(spark):
+    """The inverted index keeps the lines that comparing each with all earlier ones keeps."""
+    random.seed(6)
+    words = ["harbour", "mayor", "budget", "storm", "council", "bridge", "rail", "vote", "school", "river", "market", "night", "report", "repairs"]
+    texts = []
+    for k in range(40):
+        lines = []
+        for _ in range(random.randint(0, 25)):
+            shape = random.random()
+            if shape < 0.12:
+                lines.append(random.choice(["**Key facts**", "Context:", "Summary", "Unclear or disputed"]))
+            elif shape < 0.3 and lines:
+                lines.append(random.choice(lines) + random.choice(["", " " + random.choice(words), "."]))
+            else:
+                lines.append(random.choice(["", "- ", "* "]) + " ".join(random.sample(words, random.randint(0, 9))))
+        if k % 5 == 0:
+            lines += ["Sources", "- [a](https://a.example/1)", "more text here"]
+        texts.append((k, random.choice(["", "Mayor and council vote budget"]), "\n".join(lines) if k != 7 else None))
+    df = spark.createDataFrame(texts, "id long, title string, body string")
+    got = {r["id"]: [tuple(x) for x in r["kept"]] for r in with_kept_lines(df, "id", "body", "title").collect()}
+    want = {r["id"]: [tuple(x) for x in r["k"] or []] for r in df.select("id", A.kept_lines(F.col("body"), F.col("title")).alias("k")).collect()}
+    assert {k: [x[1:] for x in v] for k, v in got.items()} == {k: [x[1:] for x in v] for k, v in want.items()}
+    assert sum(map(len, got.values())) > 100
