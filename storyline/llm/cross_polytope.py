@@ -90,14 +90,15 @@ def _meet(dim: int, keep: int):
             for at in range(0, len(q), 256):
                 some = q[at:at + 256]
                 rough = some @ x.T
-                n = min(len(x), keep + 8)
-                top = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(n), (len(some), n))
-                exact = np.einsum("qkd,qd->qk", x[top], some)
-                rank = np.lexsort((top, -exact), axis=1)[:, :keep]
-                parts.append((
-                    np.repeat(ids[at:at + 256], rank.shape[1]), gids[np.take_along_axis(top, rank, axis=1)].ravel(),
-                    np.take_along_axis(exact, rank, axis=1).ravel(),
-                ))
+                n = min(len(x), keep)
+                last = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+                # Whatever may tie with the last one kept stays until the exact order, in which smaller ids come first.
+                near = rough >= (last - 1e-9 * np.maximum(1.0, np.abs(rough).max(axis=1)))[:, None]
+                for i, row in enumerate(near):
+                    top = np.flatnonzero(row)
+                    exact = np.einsum("kd,d->k", x[top], some[i])
+                    rank = np.lexsort((top, -exact))[:keep]
+                    parts.append((np.full(len(rank), ids[at + i]), gids[top[rank]], exact[rank]))
             out = [np.concatenate(c) for c in zip(*parts)]
         return pa.table({"query": out[0], "gid": out[1], "score": out[2]})
 
@@ -120,7 +121,8 @@ def nearest(
     that are null, zero, or hold a null or non-finite component take no part, neither do null ids and vectors of another
     length than most. Equal vectors are one point with their ``k + 1`` smallest ids, which is all that a result can show,
     so copies cost nothing and a repeated id counts once; other columns are ignored; an empty table gives no rows. A query
-    that meets fewer than ``k`` vectors has fewer rows.
+    whose tables lead to fewer than ``k`` vectors, as in small tables, is compared with all of them, block by block, so it has
+    fewer rows only if there are fewer candidates.
     """
     schema = "bucket int, gid long, v " + vectors.schema[vector].dataType.simpleString()
     rows = vectors.withColumn("_q", F.coalesce(queries, F.lit(False))).select(
@@ -162,7 +164,27 @@ def nearest(
         _meet(dim, k + 1), "query long, gid long, score double"
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "gid")
-    top = met.groupBy("query", "gid").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+
+    def first(scores: DataFrame) -> DataFrame:
+        once = scores.groupBy("query", "gid").agg(F.max("score").alias("score"))
+        return once.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+
+    top = cut_lineage(first(met))
+    # Points, not ids, are counted: k + 1 of them hold k ids besides the query's own at least.
+    ended = top.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") > k)
+    points_n = points.count()
+    short = cut_lineage(asked_points.join(ended.select(F.col("query").alias("gid")), "gid", "left_anti")) if points_n else None
+    if short is not None and not short.isEmpty():
+        blocks = -(-points_n // BLOCK)
+        every = points.select(F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int").alias("cut"), "gid", "v")
+        groups = -(-short.count() // BLOCK)
+        ask = short.select(F.pmod(F.xxhash64("gid"), F.lit(groups)).cast("int").alias("part"), "gid", "v")
+        ask = ask.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        every = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        more = ask.select("part", "cut", "gid", "v").groupBy("part", "cut").cogroup(every.select("part", "cut", "gid", "v").groupBy("part", "cut")).applyInArrow(
+            _meet(dim, k + 1), "query long, gid long, score double"
+        )
+        top = top.join(short.select(F.col("gid").alias("query")), "query", "left_anti").unionByName(first(more))
     found = top.join(points.select("gid", "ids"), "gid").select("query", "score", F.explode("ids").alias("vec_id"))
     mine = asked.select(F.col("id").alias("query_id"), F.col("gid").alias("query")).join(found, "query").filter("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from storyline.llm import merkle, prefix_trie, toxicity
+from storyline.llm import cross_polytope, merkle, prefix_trie, toxicity
 from storyline.llm.queries import op12_prefix_trie, op13_toxicity
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, g string, rank int, hash string, height int, node string, path string, id int"
@@ -288,3 +288,19 @@ def test_held_out_toxicity(spark):
     toxic = [r.predicted for r in rows if r.toxic == 1]
     clean = [r.predicted for r in rows if r.toxic == 0]
     assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+# --- nearest vectors of small tables and of ties -----------------------------------------------
+@pytest.mark.parametrize("kind", ["random", "one-hot"])
+def test_every_query_has_k_rows_if_there_are_candidates(spark, kind):
+    """Thirty vectors, twenty rows for each query; with equal products the smaller ids come first."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(30, 16)) if kind == "random" else np.eye(16)[rng.integers(0, 4, 30)] * rng.integers(1, 3, 30)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 20):
+        order = sorted(((-float(x[i] @ x[q]), i) for i in range(30) if i != q))[:20]
+        assert [(n, i) for n, i, _ in sorted(got[q])] == [(n + 1, i) for n, (_, i) in enumerate(order)]
+        assert np.allclose([s for _, _, s in sorted(got[q])], [-s for s, _ in order])
