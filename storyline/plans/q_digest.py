@@ -212,7 +212,29 @@ def v6(spark, sf_dir):
     )
 
 
-@query("v7_digest_cards")
+@query(
+    "v7_digest_cards",
+    f"""{ST}, {MEMBERS_CTE}, analyses AS (SELECT story_id AS doc_id, title, CASE WHEN analysis_state = 'ready' THEN summary || chr(10) || '**Key facts**' || chr(10) || '- ' || summary
+      || chr(10) || '**Unclear or disputed**' || chr(10) || '- It is unknown.' ELSE summary END AS body FROM stories WHERE {Q.PUBLISHED}), {LINES_CTE}, {SECTIONS_CTE},
+    points AS (SELECT doc_id AS story_id, heading, c, row_number() OVER (PARTITION BY doc_id, heading ORDER BY i) AS r FROM kept WHERE heading IN ('Key facts', 'Unclear or disputed')),
+    said AS (SELECT s.story_id, 'summary' AS kind, 1 AS r, coalesce(nullif(x.summary, ''), s.summary) AS t FROM stories s LEFT JOIN sections x USING (story_id) WHERE {Q.PUBLISHED.replace("publication_state", "s.publication_state").replace("AND state", "AND s.state")}
+      UNION ALL SELECT story_id, CASE WHEN heading = 'Key facts' THEN 'fact' ELSE 'doubt' END, r, c FROM points WHERE r <= CASE WHEN heading = 'Key facts' THEN 2 ELSE 1 END),
+    sized AS (SELECT *, unnest(CASE kind WHEN 'summary' THEN [300, 220] WHEN 'fact' THEN [150, 100] ELSE [150] END) AS lim FROM (SELECT *, {O.plain('t', 2000)} AS c FROM said)),
+    cuts AS (SELECT *, string_split(regexp_replace(c, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM sized),
+    fits AS (SELECT *, len(list_filter(range(1, len(ps) + 1), lambda i: length(array_to_string(ps[1:i], ' ')) <= lim)) AS k,
+      regexp_replace(regexp_replace(substring(ps[1], 1, lim), ' [^ ]*$', ''), '[,;:]+$', '') AS head FROM cuts),
+    x AS MATERIALIZED (SELECT story_id, kind, r, lim, CASE WHEN length(c) <= lim THEN c WHEN length(ps[1]) > lim THEN CASE WHEN head <> '' THEN head || '.' ELSE ps[1] END ELSE array_to_string(ps[1:k], ' ') END AS e FROM fits),
+    parts AS (SELECT story_id, max(e) FILTER (WHERE kind = 'summary' AND lim = 300) AS s1, max(e) FILTER (WHERE kind = 'summary' AND lim = 220) AS s2,
+      string_agg('• ' || e, chr(10) ORDER BY r) FILTER (WHERE kind = 'fact' AND lim = 150) AS f1, max('• ' || e) FILTER (WHERE kind = 'fact' AND lim = 100 AND r = 1) AS f2,
+      max(e) FILTER (WHERE kind = 'doubt') AS d1 FROM x GROUP BY story_id),
+    n AS (SELECT story_id, count(*) AS source_count FROM articles GROUP BY story_id),
+    base AS (SELECT digest_id, position + 1 AS position, story_id, position + 1 || '. ' || {TITLE_SQL} AS line, p.*, upper(state[1]) || state[2:] || ' | ' || source_count || CASE WHEN source_count = 1 THEN ' source' ELSE ' sources' END || ' | ' AS glance,
+      coalesce(nullif(array_to_string(list_filter(tags, lambda t: lower(t) <> lower(state)), ', '), ''), 'General') AS tagged FROM live JOIN n USING (story_id) JOIN parts p USING (story_id)),
+    cards AS (SELECT digest_id, position, story_id, concat_ws(chr(10), line, '**Summary**' || chr(10) || s1, 'Key facts' || chr(10) || f1, 'Unclear or disputed' || chr(10) || d1, 'At a glance' || chr(10) || glance || {O.plain('tagged', 80)}) AS full_card,
+      concat_ws(chr(10), line, '**Summary**' || chr(10) || s2, 'Key facts' || chr(10) || f2, 'At a glance' || chr(10) || glance || {O.plain('tagged', 40)}) AS compact FROM base),
+    judged AS (SELECT *, sum(length(full_card)) OVER (PARTITION BY digest_id) + 160 > 5900 AS is_compact FROM cards)
+    SELECT digest_id, CAST(position AS INTEGER) AS position, story_id, is_compact, CASE WHEN is_compact THEN compact ELSE full_card END AS card FROM judged""",
+)
 def v7(spark, sf_dir):
     n = B.articles(spark, sf_dir).groupBy("story_id").agg(F.count(F.lit(1)).alias("source_count"))
     st = B.stories(spark, sf_dir)
@@ -227,7 +249,16 @@ def v7(spark, sf_dir):
     return E.digest_cards(ready, overview_chars=160)
 
 
-@query("w10_timeline")
+@query(
+    "w10_timeline",
+    f"""{QD.VISIBLE_CTE}, v AS (SELECT v.story_id, v.history_id, v.detail, a.publisher, h.created_at FROM visible v JOIN history h ON h.history_id = v.history_id JOIN articles a ON a.article_id = h.article_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY created_at DESC, history_id DESC) AS r, count(*) OVER (PARTITION BY story_id) AS n FROM v),
+    t AS (SELECT story_id, any_value(n) AS n, list('**Update**' || chr(10) || detail || chr(10) || publisher ORDER BY r DESC) FILTER (WHERE r <= 2) AS tail FROM r GROUP BY story_id),
+    o AS (SELECT story_id, arg_min(publisher, article_id) AS publisher FROM articles GROUP BY story_id),
+    e AS (SELECT o.story_id, coalesce(n, 0) AS updates, list_concat(list_concat(['**Original report**' || chr(10) || publisher],
+      CASE WHEN n > 2 THEN [CAST(n - 2 AS VARCHAR) || ' earlier updates are on the story page'] ELSE [] END), coalesce(tail, [])) AS e FROM o LEFT JOIN t USING (story_id))
+    SELECT story_id, updates, coalesce(list_filter(list_transform(range(0, len(e)), lambda k: array_to_string(list_concat(e[1:1], e[k + 2:]), chr(10) || chr(10))), lambda x: length(x) <= 1024)[1], e[1]) AS timeline FROM e""",
+)
 def w10(spark, sf_dir):
     updates, first = QD.visible(spark, sf_dir)
     shown = QD.visible_rows(spark, sf_dir).select(
