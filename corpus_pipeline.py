@@ -27,13 +27,28 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have, whatever the case."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name = f"_{name}"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts, learnt from ``labels``."""
+    """The documents that the classifier accepts, learnt from ``labels``.
+
+    Null and empty texts are judged like any; repeated rows and null ids are judged one by one. Without usable labels all stay.
+    """
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, once; documents without an id stay."""
+    """Of each group of near duplicates the document with the smallest id; documents without an id stay.
+
+    Rows that are equal in all columns count once. Rows of one id that differ stay, unless their id is not the smallest
+    of their group: an id does not tell which of its rows belongs to which group.
+    """
     found = cut_lineage(near_duplicates(docs))
     others = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(_sized(others), "doc_id", "left_anti")
@@ -41,13 +56,16 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     twice = cut_lineage(twice)
     if not twice.isEmpty():
         again = _sized(twice)
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates()
         kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
     return kept.select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no item of ``benchmark``."""
+    """The documents that hold no item of ``benchmark``.
+
+    Null and empty texts hold none. All rows of an id go if one of them holds an item; rows without an id stay.
+    """
     hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(_sized(hits.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
 
@@ -55,13 +73,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them; those without an id or words are not taken."""
     taken = mix(docs).filter("taken > 0 and doc_id is not null")
-    taken = taken.groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
+    many, one = _free(docs, "copies"), _free(docs, "copy")
+    taken = taken.groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias(many))
     copies = docs.join(_sized(taken), "doc_id")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    return copies.withColumn(one, F.explode(F.sequence(F.lit(1), many))).select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the slot and shard of their id."""
+    """The documents with the slot and shard of their id, repeated rows and rows without an id too; a column of that name gives way."""
     return place(docs, SHARDS)
 
 
