@@ -63,7 +63,7 @@ def place(
     size: int | None = None,
     weights: Sequence[int] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``slot`` and ``shard``; columns of these names are replaced, all others stay.
+    """``docs`` with ``slot`` and ``shard``; columns of these names, in whatever case, are replaced, all others stay.
 
     The table is broadcast: it has a row per slot, bounded by the number of shards whatever the size of ``docs``, so a row
     is placed without a shuffle. Equal keys share a shard; a null key goes where the empty string goes; repeated rows stay
@@ -72,6 +72,6 @@ def place(
     table = lookup_table(shards, size, weights)
     names = F.split(F.lit("\n".join(shards[k] for k in table)), "\n")
     slots = docs.sparkSession.range(1).select(F.posexplode(names).alias("slot", "shard"))
-    kept = [c for c in docs.columns if c not in ("slot", "shard")]
-    placed = docs.select(*kept, slot_of(F.col(key), len(table)).alias("slot"))
-    return placed.join(F.broadcast(slots), "slot").select(*kept, "slot", "shard")
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
+    placed = docs.select(*[F.col(f"`{c}`") for c in kept], slot_of(F.col(key), len(table)).alias("slot"))
+    return placed.join(F.broadcast(slots), "slot").select(*[F.col(f"`{c}`") for c in kept], "slot", "shard")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from conftest import SF
 from storyline.llm import cross_polytope, merkle, prefix_trie, toxicity
 from storyline.llm.queries import op12_prefix_trie, op13_toxicity
@@ -304,3 +305,12 @@ def test_every_query_has_k_rows_if_there_are_candidates(spark, kind):
         order = sorted(((-float(x[i] @ x[q]), i) for i in range(30) if i != q))[:20]
         assert [(n, i) for n, i, _ in sorted(got[q])] == [(n + 1, i) for n, (_, i) in enumerate(order)]
         assert np.allclose([s for _, _, s in sorted(got[q])], [-s for s, _ in order])
+
+
+def test_stages_keep_rows_that_differ_and_any_column_names(spark):
+    rows = [(1, "one two three four five six", 1), (1, "seven eight nine ten eleven twelve", 1), (1, "seven eight nine ten eleven twelve", 1), (2, "one two three four five six", 1), (None, "x y", 1), (None, "x y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _copies int").withColumns({"Slot": F.lit(1), "lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(3)})
+    kept = corpus_pipeline.one_per_group(spark, docs, SF)
+    assert sorted(((r.doc_id or 0, r.text[:3]) for r in kept.collect())) == [(0, "x y"), (0, "x y"), (1, "one"), (1, "sev")]
+    assert corpus_pipeline.mixed(spark, docs, SF).columns == docs.columns
+    assert sorted(c.lower() for c in corpus_pipeline.sharded(spark, docs, SF).columns).count("slot") == 1
