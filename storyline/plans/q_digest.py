@@ -7,10 +7,9 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyline.functions import clock as C
 from storyline.functions import fixed
-from storyline.functions.outlets import publisher_label, source_bias_bucket, source_bias_score
-from storyline.functions.text import forum_title, story_update_detail
+from storyline.functions.outlets import source_bias_bucket, source_bias_score
+from storyline.functions.text import forum_title
 from storyline.functions.urls import safe_external_link
 from storyline.operators import digest as E
 from storyline.operators import feed as S

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyline.functions import fixed
-from storyline.operators import feed as S
 from storyline.operators import mutations as M
 from storyline.operators.attach import attach_fold
 from storyline.plans import bindings as B

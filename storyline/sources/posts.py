@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
