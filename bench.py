@@ -14,6 +14,7 @@ HEADLINE = (
     "a3_source_balance", "a7_weekly_candidates", "j1_candidate_window", "w9_message_context", "s1_feed_items",
     "s7_page_articles", "j2_similar_articles_with_sequence", "p12_source_artifacts", "d2_greedy_first_wins", "d4_visible_updates",
     "a8_feature_rollup", "g9_outliers", "g10_story_graph", "w2_weekly_selection", "t1_stream_ingest",
+    "g6_online_assignment_with_sequence", "g7_story_merge_score", "g11_maintenance_pass",
 )
 
 
