@@ -455,3 +455,13 @@ def test_lines_by_index_equal_lines_one_by_one(spark):
     want = {r["id"]: [tuple(x) for x in r["k"] or []] for r in df.select("id", A.kept_lines(F.col("body"), F.col("title")).alias("k")).collect()}
     assert {k: [x[1:] for x in v] for k, v in got.items()} == {k: [x[1:] for x in v] for k, v in want.items()}
     assert sum(map(len, got.values())) > 100
+
+
+def test_lines_are_judged_where_their_text_lies(spark):
+    """A text is judged in its row: whatever its lines hold, nothing is shuffled or checkpointed."""
+    words = [f"w{k % 97}x" for k in range(3000)]
+    body = "\n".join(" ".join(words[k : k + 150]) for k in range(0, 3000, 150)) + "\n**Key facts**\n- a short new line of five words"
+    out = with_kept_lines(spark.createDataFrame([(1, "Harbour", body), (2, None, None)], "id long, title string, body string"), "id", "body", "title")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    kept = {r["id"]: [x["text"] for x in r["kept"]] for r in out.collect()}
+    assert kept[2] == [] and len(kept[1]) == 2 and kept[1][1] == "- a short new line of five words"
