@@ -150,3 +150,23 @@ def test_quality_gate(one):
     assert "two supporting key facts" in gate(TEXT.replace("- Two hundred", "Sources\n- Two hundred"))
     assert "useful context" in gate(TEXT.split("**Useful context**")[0])
     assert "failed" in gate(TEXT, "failed") and "not available" in gate(TEXT, "disabled")
+
+
+def test_artifacts_as_a_column(spark):
+    """The Arrow form judges as the expression does, on planted page furniture in any order."""
+    import random
+
+    pick, words = random.Random(3), "by reuters ap 12:30 9:15 5 min read 7 minutes reading time follow us share advertisement read more section: 2 days ago gold silver nifty é5 ß İ (published)".split(" ")
+    rows = [(" ".join(pick.choice(words[: pick.randint(3, 30)]) for _ in range(pick.randint(0, 40))),) for _ in range(400)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").select(X.contains_source_artifacts(F.col("t")).alias("a"), X.source_artifacts(F.col("t")).alias("b"))
+    assert {(r["a"], r["b"]) for r in df.distinct().collect()} == {(True, True), (False, False)}
+
+
+def test_long_values_are_cut_by_their_head(one, spark):
+    gaps = "ab 　 " * 3 + "@here" + " " * 900 + "tail " * 90
+    for value in (gaps, "x" * 700, " " * 900, "a b" * 300 + "@everyone"):
+        whole = X.cut(X.neutralize_mentions(F.trim(F.regexp_replace(L(value), X.SPACE + "+", " "))), 50)
+        assert one(X.tidy(L(value), 50))[0] == one(whole)[0]
+    rows = spark.range(2000).select(F.repeat(F.lit("word  of a long text "), 3000).alias("t"))
+    head = rows.select(X.tidy(F.col("t"), 50).alias("h"))
+    assert "substring" in head._jdf.queryExecution().optimizedPlan().toString()  # only a head is squashed
