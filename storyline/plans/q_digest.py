@@ -259,8 +259,9 @@ def v7(spark, sf_dir):
     SELECT story_id, updates, coalesce(list_filter(list_transform(range(0, len(e)), lambda k: array_to_string(list_concat(e[1:1], e[k + 2:]), chr(10) || chr(10))), lambda x: length(x) <= 1024)[1], e[1]) AS timeline FROM e""",
 )
 def w10(spark, sf_dir):
-    updates, first = QD.visible(spark, sf_dir)
-    shown = QD.visible_rows(spark, sf_dir).select(
+    seen = QD.visible(spark, sf_dir)
+    first = seen[1]
+    shown = QD.visible_rows(spark, sf_dir, seen).select(
         "story_id", "history_id", F.unix_micros("recorded_at").alias("recorded_us"),
         F.concat(F.lit("**Update**\n"), "detail", F.lit("\n"), "publisher").alias("entry"),
     )
