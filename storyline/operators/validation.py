@@ -45,7 +45,8 @@ def validate_story_responses(responses: DataFrame, candidates: DataFrame) -> Dat
     """Validate story analyses (story_id, raw): text, related ids and notices, or an error.
 
     ``candidates`` (story_id, related_id) are the relations that were offered; others are
-    dropped without refusing the response.
+    dropped without refusing the response. They are many more than the ids that responses name, so both are brought together by a
+    shuffle and neither is ever held whole by the driver.
     """
     v = responses.select("story_id", unfenced(F.col("raw")).alias("text")).withColumn(
         "v", F.try_parse_json("text")
@@ -118,7 +119,7 @@ def validate_story_responses(responses: DataFrame, candidates: DataFrame) -> Dat
     ))
     known = (
         judged.filter("error IS NULL").select("story_id", F.posexplode("ids").alias("pos", "related_id"))
-        .join(candidates, ["story_id", "related_id"], "left_semi")
+        .hint("merge").join(candidates.hint("merge"), ["story_id", "related_id"], "left_semi")
         .groupBy("story_id", "related_id").agg(F.min("pos").alias("pos"))
         .groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("pos", "related_id"))).alias("k"))
     )

@@ -465,3 +465,14 @@ def test_lines_are_judged_where_their_text_lies(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     kept = {r["id"]: [x["text"] for x in r["kept"]] for r in out.collect()}
     assert kept[2] == [] and len(kept[1]) == 2 and kept[1][1] == "- a short new line of five words"
+
+
+def test_offered_relations_are_not_broadcast(spark):
+    """Candidates outnumber responses many times, and an explode hides it from the planner: the driver must not gather them."""
+    raw = '{"summary":"Report: The council approved a new harbour plan.","key_facts":["The plan covers three new piers."],"useful_context":[],"unclear_or_disputed":[],"related_story_ids":[3,1,9],"latest_update":null}'
+    responses = spark.createDataFrame([(i, raw) for i in range(4)], "story_id long, raw string")
+    offered = spark.range(4).select(F.col("id").alias("story_id"), F.explode(F.expr("sequence(1L, 5L)")).alias("related_id"))
+    out = V.validate_story_responses(responses, offered)
+    assert {tuple(r["related_ids"]) for r in out.collect()} == {(3, 1)}
+    semi = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftSemi" in line]
+    assert semi and not any("Broadcast" in line for line in semi)
