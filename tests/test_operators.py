@@ -476,3 +476,28 @@ def test_offered_relations_are_not_broadcast(spark):
     assert {tuple(r["related_ids"]) for r in out.collect()} == {(3, 1)}
     semi = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftSemi" in line]
     assert semi and not any("Broadcast" in line for line in semi)
+
+
+@pytest.mark.parametrize("options", [ScoreOptions(0.5, sequence=False), ScoreOptions(0.6)])
+def test_pairs_are_scored_where_they_meet(spark, monkeypatch, options):
+    monkeypatch.setattr(Y, "BLOCK_ROWS", 3)
+    arts = G.cut_lineage(q_cluster.features(spark, SF))
+    similar = Y.similar_articles(arts, options)
+    plan = similar._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(left_id" not in plan and "hashpartitioning(right_id" not in plan
+    found = [(r["left_id"], r["right_id"]) for r in similar.collect()]
+    assert found and len(found) == len(set(found))
+    # All pairs of a guild and forum, scored as given pairs.
+    side = lambda p: arts.select("guild_id", "forum", F.col("article_id").alias(f"{p}_id"), F.col("published_us").alias(f"{p}_us"))
+    every = side("left").join(side("right"), ["guild_id", "forum"]).filter("left_id <> right_id").select("left_id", "right_id", "left_us", "right_us")
+    good = Y.score_columns(Y.article_signals(every, arts), options, None).filter(F.col("support") & (F.col("score") >= options.threshold))
+    rows = good.select("left_id", "right_id", "left_us", "right_us", F.round("score", 9).alias("score")).collect()
+    window = options.window_hours * G.HOUR_US
+    assert set(found) == {(r[0], r[1]) for r in rows if (r[2], r[0]) > (r[3], r[1]) and r[2] - r[3] <= window}
+    merging = {(r[0], r[1], round(r[2], 9)) for r in G.merge_pairs(arts, options).collect()}
+    assert merging == {(r[0], r[1], r[4]) for r in rows}
+    label = {r["article_id"]: r["article_id"] for r in arts.collect()}
+    for _ in label:
+        for a, b in found:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["article_id"]: r["story_id"] for r in G.story_graph(arts, options).collect()} == label
