@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from storyline.functions import analysis as A
 from storyline.operators import classify as K
+from storyline.operators import assignment
 from storyline.operators.assignment import assign_in_slices
 from storyline.operators.attach import attach_fold
 from storyline.operators.candidates import candidate_stories
@@ -180,6 +181,78 @@ def test_assignment_equals_sequential_replay(spark, slice_rows):
     assert 1 < len(set(want.values())) < 39
 
 
+@pytest.mark.parametrize("sequence", [False, True])
+def test_slices_pass_on_what_they_are_handed_in_one_fold_each(spark, monkeypatch, sequence):
+    """Slices shorter than the window wait for the one before: each is folded once, and the decisions are those of one slice."""
+    rows = [item(i, f"Senate approves the budget bill {i % 3}", f"Senators in Berlin voted {i}.", f"Outlet {i}", minutes=i * 10) for i in range(1, 25)]
+    arts = G.cut_lineage(features(spark.createDataFrame(rows, ITEM)))
+    options, folded, cut = ScoreOptions(threshold=0.5, sequence=sequence), [], assignment.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if "significant" in out.columns:
+            folded.extend(r["article_id"] for r in out.filter("article_id is not null").collect())
+        return out
+
+    monkeypatch.setattr(assignment, "cut_lineage", counted)
+    got = assign_in_slices(arts, options, rows=4)[0].collect()
+    assert sorted(folded) == list(range(1, 25))
+    assert sorted(got) == sorted(assign_in_slices(arts, options)[0].collect())
+
+
+def test_compared_stories_equal_plain_sets():
+    """Counts by array, with titles that are replaced, keywords that leave and stories put aside, are those of the sets themselves."""
+    random.seed(9)
+    words = [f"w{i:02}" for i in range(20)]
+    stories = assignment.Stories(ScoreOptions(threshold=0.5))
+    for i in range(600):
+        pick = lambda n: set(random.sample(words, random.randint(0, n)))
+        a = {c: pick(9) for c in assignment.SETS} | {"article_id": i, "priority": i % 4, "published_us": i, "arrival_us": i, "until_us": i}
+        a |= {"title_order": sorted(a["title_tokens"]), "text": " ".join(sorted(a["title_tokens"]))}
+        found = stories.best(a)
+        scores = {s["root"]: _plain_score(a, s) for s in stories.rows}
+        top = max(scores.values(), default=0.0)
+        if top < 0.5:
+            assert found is None
+        else:
+            assert found[0] == top and scores[found[1]["root"]] == top
+        stories.join(a)
+        stories.close(i - 80)
+    assert stories.closed
+
+
+def test_selection_looks_at_earlier_members_only_and_keeps_their_stories(spark):
+    """A story that rests for longer than the window and goes on is whole again; members from the asking one on do not count."""
+    day = 24 * 60
+    members = [
+        item(2, "Senate approves the budget bill", "Senators in Berlin voted on Monday.", "NPR", minutes=0),
+        item(4, "Harbour strike ends after talks", "Unions in Hamburg agreed.", "CNN", minutes=10 * day),
+        item(8, "Senate approves the budget bill today", "Senators in Berlin voted again.", "AP", minutes=20 * day),
+        item(9, "NASA launches a spacecraft to the moon", "The rocket left on Monday.", "CNN", minutes=21 * day),
+    ]
+    asked = [
+        item(7, "Senate approves the budget bill", "Senators in Berlin voted on Monday.", "BBC", minutes=20 * day),
+        item(11, "Senate approves the budget bill", "Senators in Berlin voted on Monday.", "BBC", minutes=20 * day + 60),
+        item(9, "NASA launches a spacecraft to the moon", "The rocket left on Monday.", "CNN", minutes=21 * day),
+    ]
+    arts = features(spark.createDataFrame(members, ITEM)).withColumn("root", F.when(F.col("article_id").isin(2, 8), 50).otherwise(F.col("article_id") * 10))
+    new = features(spark.createDataFrame(asked, ITEM))
+    for rows in (1, 2, 100):
+        got = assignment.choose_in_slices(new, arts, ScoreOptions(threshold=0.5), rows=rows).collect()
+        assert [(r["article_id"], r["root"]) for r in got] == [(11, 50)]
+        assert got[0]["significant"] is False
+
+
+def _plain_score(a, s):
+    d = a["description_tokens"]
+    descr = len(d & s["keywords"]) / (sqrt(len(d)) * sqrt(len(s["keywords"]))) if d and s["keywords"] else 0.0
+    return _score(
+        _jac(a["title_tokens"], s["title_tokens"]), SequenceMatcher(None, a["text"], " ".join(s["title_order"])).ratio(),
+        _jac(a["entities"], s["entities"]), _jac(a["keywords"], s["keywords"]), descr,
+        max(0.0, 1.0 - abs(a["published_us"] - s["last_us"]) / 3.6e9 / 96.0), _comp(a["event_terms"], s["event_terms"]), _comp(a["numbers"], s["numbers"]),
+    )
+
+
 def test_stories_handed_over_continue(spark):
     """What one call leaves open is what the next starts from."""
     rows = [item(i, f"Senate approves the budget bill {i % 3}", f"Senators in Berlin voted {i}.", f"Outlet {i}", minutes=i * 60) for i in range(1, 13)]
