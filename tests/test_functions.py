@@ -170,3 +170,17 @@ def test_long_values_are_cut_by_their_head(one, spark):
     rows = spark.range(2000).select(F.repeat(F.lit("word  of a long text "), 3000).alias("t"))
     head = rows.select(X.tidy(F.col("t"), 50).alias("h"))
     assert "substring" in head._jdf.queryExecution().optimizedPlan().toString()  # only a head is squashed
+
+
+def test_fallback_column_equals_its_expression(spark):
+    title = "Senate approves the new budget bill"
+    said = "Lawmakers in Berlin voted for the new spending plan on Monday. A second reading will follow next week in the upper house. Third."
+    values = [
+        said, None, "", "lower " + said, f"LONDON, Jan 5 (Reuters) - {said}", f"{title}: ‘{said}’", f"https://x.example/a [1] **{said}",
+        f"Skip to content {said}", f"{said} Sign up for more.", " - ".join(["one two three four five"] * 6), f"{title}. {said}", "lower only",
+    ]
+    df = spark.createDataFrame([(i, v, title) for i, v in enumerate(values)], "i int, v string, title string")
+    want = {r["i"]: r["s"] for r in df.select("i", X.clean_fallback_candidate(F.col("v"), F.col("title")).alias("s")).collect()}
+    got = X.with_fallback(df, "s", F.col("v"), F.col("title"))
+    assert got.columns == ["i", "v", "title", "s"]
+    assert {r["i"]: r["s"] for r in got.collect()} == want and want[0].startswith("Lawmakers") and want[1] is None
