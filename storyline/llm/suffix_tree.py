@@ -240,10 +240,15 @@ class Tree:
 
     @classmethod
     def build(cls, alphabet: Alphabet, depth, context, symbol, n, pairs=None) -> Tree:
-        key = (depth.astype(np.int64) << 58) | context
-        states = np.unique(np.append(key, 0))
+        return cls.of_batches(alphabet, [((depth.astype(np.int64) << 58) | context, symbol, n)], pairs)
+
+    @classmethod
+    def of_batches(cls, alphabet: Alphabet, batches: list, pairs=None) -> Tree:
+        """From arrays (key, symbol, n), the key being the depth above 58 bits of context; no array of all rows is made."""
+        states = np.unique(np.concatenate([np.zeros(1, np.int64), *(np.unique(key) for key, _, _ in batches)]))
         share = np.zeros((len(states), LETTERS), np.float32)  # counts, then shares, then their logarithms, all in place
-        np.add.at(share, (np.searchsorted(states, key), symbol), n)
+        for key, symbol, n in batches:
+            np.add.at(share, (np.searchsorted(states, key), symbol), n)
         level, code = states >> 58, states & ((1 << 58) - 1)
         child = np.full((max(1, int((level < DEPTH).sum())), LETTERS), -1, np.int32)  # the deepest have none
         share[0] = (share[0] + 1.0 / LETTERS) / (share[0].sum(dtype=np.float64) + 1.0)
@@ -397,8 +402,12 @@ def score_texts(
     *parts, last = _parts(cut_lineage(select_states(grams)), states)
 
     def grown(part, pairs):
-        rows = part.toArrow()
-        return Tree.build(alphabet, *(rows.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "n")), pairs)
+        key = F.shiftleft(F.col("depth").cast("long"), 58).bitwiseOR(F.col("context")).alias("key")
+        rows = part.select(key, F.col("symbol").cast("byte").alias("symbol"), "n").toArrow()
+        tree = Tree.of_batches(alphabet, [tuple(c.to_numpy() for c in b.columns) for b in rows.to_batches()], pairs)
+        del rows
+        pa.default_memory_pool().release_unused()
+        return tree
 
     for part in parts:
         some = spark.sparkContext.broadcast(grown(*part))

@@ -389,3 +389,15 @@ def test_suffix_tree_walks_to_the_longest_state():
         row = order.index((best, int(keys[p]) & ((1 << 6 * best) - 1)))
         assert scores[p] == tree.log10[row, symbols[p]]
     assert shingles("A b") == {("a", "b")}
+
+
+def test_tree_of_batches_equals_tree_of_whole_arrays():
+    rng = np.random.default_rng(3)
+    alphabet = suffix_tree.Alphabet.of(np.bincount(np.frombuffer(b"banana bandana", np.uint8), minlength=256))
+    context = np.concatenate([np.zeros(6, np.int64), np.repeat(np.arange(1, 5), 6)])
+    depth, symbol, n = (context > 0).astype(np.int64), np.tile(np.arange(6), 5), rng.integers(1, 90, 30)
+    whole = suffix_tree.Tree.build(alphabet, depth, context, symbol, n)
+    key = (depth << 58) | context
+    cut = [(key[i:i + 7], symbol[i:i + 7].astype(np.int8), n[i:i + 7]) for i in range(0, 30, 7)]
+    parts = suffix_tree.Tree.of_batches(alphabet, cut)
+    assert np.array_equal(whole.child, parts.child) and np.array_equal(whole.log10, parts.log10)
