@@ -574,3 +574,10 @@ def test_pairs_are_scored_where_they_meet(spark, monkeypatch, options):
         for a, b in found:
             label[a] = label[b] = min(label[a], label[b])
     assert {r["article_id"]: r["story_id"] for r in G.story_graph(arts, options).collect()} == label
+
+
+def test_event_terms_alone_are_read_from_normalised_items(spark):
+    rows = [(1, "Fed lowers <b>rates</b>", "The bank said so.", "Desk", ""), (2, "Court rejects appeal", "The court said so.", "Desk", "")]
+    items = spark.createDataFrame(rows, "article_id long, title string, summary string, publisher string, url string")
+    wide = {r["article_id"]: r["event_terms"] for r in normalize_items(items).localCheckpoint().collect()}
+    assert wide == {r["article_id"]: r["event_terms"] for r in normalize_items(items).select("article_id", "event_terms").collect()} and wide[1]
