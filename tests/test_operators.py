@@ -581,3 +581,11 @@ def test_event_terms_alone_are_read_from_normalised_items(spark):
     items = spark.createDataFrame(rows, "article_id long, title string, summary string, publisher string, url string")
     wide = {r["article_id"]: r["event_terms"] for r in normalize_items(items).localCheckpoint().collect()}
     assert wide == {r["article_id"]: r["event_terms"] for r in normalize_items(items).select("article_id", "event_terms").collect()} and wide[1]
+
+
+def test_a_second_mark_of_a_line_is_content(spark):
+    text = "* * First said thing of the harbour plan\nKey facts\n- \u2022 Ten ships wait outside the port\nContext\n* * Older quays were closed in spring\n"
+    kept = with_kept_lines(spark.createDataFrame([(1, "Title", text)], "k long, title string, body string"), "k", "body", "title")
+    s = kept.select(A.analysis_sections(F.col("kept")).alias("s")).first()["s"]
+    assert s["summary"] == "* First said thing of the harbour plan"
+    assert s["key_facts"] == ["\u2022 Ten ships wait outside the port"] and s["context"] == ["* Older quays were closed in spring"]
