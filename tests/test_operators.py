@@ -589,3 +589,5 @@ def test_a_second_mark_of_a_line_is_content(spark):
     s = kept.select(A.analysis_sections(F.col("kept")).alias("s")).first()["s"]
     assert s["summary"] == "* First said thing of the harbour plan"
     assert s["key_facts"] == ["\u2022 Ten ships wait outside the port"] and s["context"] == ["* Older quays were closed in spring"]
+    shown = kept.select(A.analysis_sections(F.col("kept")).alias("s")).select(A.render_analysis(*[F.col(f"s.{c}") for c in ("summary", "key_facts", "context", "uncertainty")]).alias("r"))
+    assert "\n- * Older quays were closed in spring" in shown.first()["r"]
