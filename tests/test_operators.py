@@ -591,3 +591,17 @@ def test_a_second_mark_of_a_line_is_content(spark):
     assert s["key_facts"] == ["\u2022 Ten ships wait outside the port"] and s["context"] == ["* Older quays were closed in spring"]
     shown = kept.select(A.analysis_sections(F.col("kept")).alias("s")).select(A.render_analysis(*[F.col(f"s.{c}") for c in ("summary", "key_facts", "context", "uncertainty")]).alias("r"))
     assert "\n- * Older quays were closed in spring" in shown.first()["r"]
+
+
+def test_near_copies_are_linked_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(Y, "BLOCK_ROWS", 20)
+    rows = [(i, 1, "en", i * G.HOUR_US // 10, ["fed", "cuts", "rates"], ["reserve"], ["bank", "cuts", f"w{i}"], [], ["cut"]) for i in range(50)]
+    rows.append((99, 1, "en", 400 * G.HOUR_US, *rows[0][4:]))  # out of every window
+    arts = spark.createDataFrame(rows, "article_id long, guild_id long, forum string, published_us long, title_tokens array<string>, entities array<string>, "
+                                 "keywords array<string>, numbers array<string>, event_terms array<string>")
+    for options in (ScoreOptions(0.5, sequence=False), ScoreOptions(0.6)):
+        assert Y.similar_articles(arts, options).count() == 50 * 49 // 2
+        links = Y.linked_articles(arts, options).collect()
+        assert len(links) <= 3 * 19 + 3 * 39  # a forest of each of three slices and of each two of them
+        graph = {r["article_id"]: r["story_id"] for r in G.story_graph(arts, options).collect()}
+        assert graph == {i: 0 for i in range(50)} | {99: 99}
