@@ -605,3 +605,13 @@ def test_near_copies_are_linked_without_a_row_for_each_pair(spark, monkeypatch):
         assert labels.select("label").distinct().count() == 4 and links.count() == 3  # three slices and the one apart, each two once
         graph = {r["article_id"]: r["story_id"] for r in G.story_graph(arts, options).collect()}
         assert graph == {i: 0 for i in range(50)} | {99: 99}
+
+
+@pytest.mark.parametrize("options", [ScoreOptions(0.5, sequence=False), ScoreOptions(0.6)])
+def test_merge_scores_by_story_equal_those_of_pairs(spark, monkeypatch, options):
+    monkeypatch.setattr(Y, "BLOCK_ROWS", 7)
+    arts = G.cut_lineage(q_cluster.grouped(spark, SF))
+    scores = G.merge_scores(arts, options)
+    assert "left_story" not in scores._jdf.queryExecution().optimizedPlan().toString()  # no row for a pair of articles
+    told = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    assert told(scores) == told(G.merge_scores(arts, options, G.merge_pairs(arts, options))) != []
